@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from stemma.llm import quality_rules
+from stemma.llm import quality_rules, sentencepiece_codec, token_output
 from stemma.llm.common import read
 
 
@@ -16,8 +15,27 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.measured(docs).select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+#: The document end that op5 appends.
+END_ID = 2
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), END_ID)
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encode_pieces(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids_crc32", "round_trip")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules}
+    return {f.__name__: f for f in (op1_quality_rules, op5_token_output, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
