@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stemma.llm import quality_rules, sentencepiece_codec, token_output
+from stemma.llm import html_text, quality_gam, quality_rules, secret_scan, sentencepiece_codec, token_counts, token_output
 from stemma.llm.common import read
 
 
@@ -25,17 +26,38 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_words", "n_tokens")
+
+
+def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 5
+    model = quality_gam.train(docs, read(spark, sf_dir, "labels").where(fold != 0))
+    return quality_gam.score(docs.withColumn("held_out", fold == 0), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), END_ID)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_codec.encode_pieces(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids_crc32", "round_trip")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op5_token_output, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op4_quality_gam, op5_token_output, op7_secret_scan, op9_html_text, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
