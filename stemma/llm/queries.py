@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import html_text, quality_gam, quality_rules, secret_scan, sentencepiece_codec, token_counts, token_output
+from stemma.llm import html_text, minhash_dedup, quality_gam, quality_rules, secret_scan, sentencepiece_codec, token_counts, token_output
 from stemma.llm.common import read
 
 
@@ -31,6 +31,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_words", "n_tokens")
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
@@ -57,7 +61,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op4_quality_gam, op5_token_output, op7_secret_scan, op9_html_text, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_minhash_dedup, op4_quality_gam, op5_token_output, op7_secret_scan, op9_html_text, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
