@@ -36,3 +36,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a shared folder and read again: it is computed once, and survives lost executors."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import shared_dir
+from stemma.llm.common import stored
 from stemma.llm.shingles import MinHash, mix, shingle_set
 
 #: Similarity from which documents are linked, in hundredths.
@@ -42,13 +42,6 @@ DISTANCE = 2 * (LANES // CHUNK) - 1
 BATCH = 256
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a shared folder and read again: it is computed once, and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def chunk_keys(lanes: np.ndarray) -> np.ndarray:
     """For each row of lanes, a key for every chunk and every lane of it that is left out."""
     keys = []
@@ -128,7 +121,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps by turns until nothing changes; every step is stored.
     """
-    edges = _stored(links.select("a", "b").where("a <> b").distinct(), "links")
+    edges = stored(links.select("a", "b").where("a <> b").distinct(), "links")
 
     def step(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -147,7 +140,7 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while before != (now := state(edges)):
         before = now
-        edges = _stored(step(_stored(step(edges, True), "links"), False), "links")
+        edges = stored(step(stored(step(edges, True), "links"), False), "links")
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
@@ -176,7 +169,7 @@ def prefix_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
     placed = elements.join(counts, "e").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
     length = (F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1).cast("int")
     prefix = placed.select("id", "n", F.explode(F.slice("es", F.lit(1), length)).alias("x")).where("x.df > 1").select("id", "n", "x.e")
-    prefix = _stored(with_component(prefix, found, "id"), "prefix")
+    prefix = stored(with_component(prefix, found, "id"), "prefix")
     sizes = prefix.groupBy("e", "component").agg(F.count("*").alias("c"))
     major = sizes.groupBy("e").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("e", F.col("m.component").alias("major"))
     marked = prefix.join(major, "e")
@@ -188,17 +181,17 @@ def prefix_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that is reachable) and kept, for each row of ``docs``."""
-    base = _stored(signatures(docs), "signatures")
+    base = stored(signatures(docs), "signatures")
     classes = base.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"))
-    classes = _stored(classes, "classes")
+    classes = stored(classes, "classes")
     keyed = base.join(classes.select(F.col("id").alias("doc_id"), "n", "f1", "f2"), ["doc_id", "n", "f1", "f2"], "left_semi")
     keyed = keyed.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
-    members = _stored(keyed.join(buckets, "key").where("id <> a"), "members")  # of a bucket, all but the smallest
-    pairs = _stored(members.select("a", F.col("id").alias("b")).distinct(), "pairs")
+    members = stored(keyed.join(buckets, "key").where("id <> a"), "members")  # of a bucket, all but the smallest
+    pairs = stored(members.select("a", F.col("id").alias("b")).distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = _stored(full_sets(docs, ids), "sets")
-    first = _stored(compared(pairs, sets), "compared")
+    sets = stored(full_sets(docs, ids), "sets")
+    first = stored(compared(pairs, sets), "compared")
     links = first.where(similar(F.col("both"), F.col("either")))
     found = components(links)
     # what is left: the members, the smallest included, of buckets in which a comparison failed

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import html_text, minhash_dedup, quality_gam, quality_rules, secret_scan, sentencepiece_codec, token_counts, token_output
+from stemma.llm import decontaminate, html_text, minhash_dedup, quality_gam, quality_rules, secret_scan, sentencepiece_codec, token_counts, token_output
 from stemma.llm.common import read
 
 
@@ -51,6 +51,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -61,11 +65,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_minhash_dedup, op4_quality_gam, op5_token_output, op7_secret_scan, op9_html_text, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_minhash_dedup, op4_quality_gam, op5_token_output, op7_secret_scan, op8_decontaminate, op9_html_text, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op8_decontaminate": OP8_SQL}
 
 
 OP1_SQL = r"""
@@ -98,3 +102,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   AND NOT coalesce(list_bool_or(list_transform(words, lambda x: length(x) > 1000)), false) AS kept
 FROM b
 """
+
+
+#: Without the check of slots, which in these tables no two windows need.
+OP8_SQL = r"""
+WITH src AS (
+  SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS t FROM documents
+  UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM benchmark
+), w AS (
+  SELECT DISTINCT kind, id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM src
+), x AS (
+  SELECT kind, id, i, words[i] AS w, CASE WHEN i > 1 THEN words[i - 1] END AS b FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM w)
+), c AS (
+  SELECT *, regexp_replace(lower(w), '[^\pL\pN]+', '', 'g') AS core,
+    coalesce(regexp_matches(b, '^[^\pL\pN]*\pN+([.,:/\-]\pN+)*[^\pL\pN]*$'), false) AS after_number FROM x
+), t AS (
+  SELECT kind, id, i, CASE
+    WHEN regexp_matches(w, '\pN') THEN CASE
+      WHEN regexp_matches(w, '^[^\pL\pN]*\pN+([.,:/\-]\pN+)*[^\pL\pN]*$') THEN '<num>'
+      WHEN regexp_matches(lower(w), '^[^\pL\pN]*\pN+([.,]\pN+)*(UNITS)[^\pL\pN]*$') THEN '<num><unit>'
+      ELSE core END
+    WHEN regexp_full_match(core, 'UNITS') AND after_number THEN '<unit>'
+    WHEN i > 1 AND regexp_matches(w, '^[^\pL\pN]*\p{Lu}\p{Ll}') AND NOT regexp_matches(b, '[.!?:;]["'')\]]*$') THEN '<name>'
+    ELSE core END AS tok FROM c
+), l AS (
+  SELECT kind, id, list(tok ORDER BY i) AS toks FROM t GROUP BY kind, id
+), bw AS (
+  SELECT id AS item_id, size, i AS ipos, array_to_string(toks[i:i + size - 1], chr(31)) AS win, len(toks) - size + 1 AS n_windows
+  FROM (SELECT *, unnest(range(1, len(toks) - size + 2)) AS i FROM (SELECT *, least(len(toks), 8) AS size FROM l WHERE kind = 'b' AND len(toks) >= 4))
+), dw AS (
+  SELECT id AS doc_id, size, array_to_string(toks[i:i + size - 1], chr(31)) AS win
+  FROM (SELECT *, unnest(range(1, len(toks) - size + 2)) AS i FROM l CROSS JOIN (SELECT DISTINCT size FROM bw) WHERE kind = 'd' AND len(toks) >= size)
+), leaked AS (
+  SELECT doc_id, item_id, count(DISTINCT ipos)::DOUBLE / n_windows AS coverage FROM dw JOIN bw USING (size, win)
+  GROUP BY doc_id, item_id, n_windows HAVING 100 * count(DISTINCT ipos) >= 50 * n_windows
+), best AS (
+  SELECT doc_id, count(*) AS n_items, max(coverage) AS coverage FROM leaked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_items, 0)::BIGINT AS n_items,
+  (SELECT min(item_id) FROM leaked k WHERE k.doc_id = best.doc_id AND k.coverage = best.coverage) AS item_id,
+  coverage, n_items IS NOT NULL AS contaminated, n_items IS NULL AS kept
+FROM documents d LEFT JOIN best USING (doc_id)
+""".replace("UNITS", "|".join(decontaminate.UNITS))
