@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemma.llm import decontaminate, html_text, minhash_dedup, quality_gam, quality_rules, secret_scan, sentencepiece_codec, token_counts, token_output
+from stemma.llm import decontaminate, html_text, minhash_dedup, quality_gam, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, token_output
 from stemma.llm.common import read
 
 
@@ -46,6 +46,10 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), END_ID)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
@@ -65,7 +69,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_minhash_dedup, op4_quality_gam, op5_token_output, op7_secret_scan, op8_decontaminate, op9_html_text, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_token_counts, op3_minhash_dedup, op4_quality_gam, op5_token_output, op6_suffix_dedup, op7_secret_scan, op8_decontaminate, op9_html_text, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -36,6 +36,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def range_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each range of bytes, the same for the same bytes."""
+    up, down = _power_tables(len(raw))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)])
+    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, A-Z in lower case."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_LOWER), np.uint8)
@@ -43,9 +50,7 @@ def word_hashes(text: str) -> np.ndarray:
         return np.zeros(0, np.uint64)
     edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]])))
     start, end = edge[::2], edge[1::2]
-    up, down = _power_tables(len(raw))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up[: len(raw)], dtype=np.uint64)])
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    return range_hashes(raw, start, end)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
