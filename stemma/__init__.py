@@ -1,0 +1 @@
+"""Questions, retrieval, updates and schema changes over typed, linked tables, as Spark jobs."""

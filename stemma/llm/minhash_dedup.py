@@ -152,7 +152,8 @@ def with_component(df: DataFrame, found: DataFrame, on: str) -> DataFrame:
 def prefix_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that may reach the similarity, by the prefix filter.
 
-    Each pair comes from an element that stands in both prefixes. In an element's list, the
+    Each pair comes from an element that stands in both prefixes, at places that leave enough
+    elements for the similarity if it is the first that they share. In an element's list, the
     component with the most members is not paired with itself.
     """
 
@@ -168,14 +169,14 @@ def prefix_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
     counts = elements.groupBy("e").agg(F.count("*").alias("df"))
     placed = elements.join(counts, "e").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
     length = (F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1).cast("int")
-    prefix = placed.select("id", "n", F.explode(F.slice("es", F.lit(1), length)).alias("x")).where("x.df > 1").select("id", "n", "x.e")
+    prefix = placed.select("id", "n", F.posexplode(F.slice("es", F.lit(1), length)).alias("pos", "x")).where("x.df > 1").select("id", "n", "x.e", (F.col("n") - F.col("pos")).alias("rest"))
     prefix = stored(with_component(prefix, found, "id"), "prefix")
     sizes = prefix.groupBy("e", "component").agg(F.count("*").alias("c"))
     major = sizes.groupBy("e").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("e", F.col("m.component").alias("major"))
     marked = prefix.join(major, "e")
-    one = marked.where("component <> major").select("e", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    two = marked.select("e", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "major")
-    near = (100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
+    one = marked.where("component <> major").select("e", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("component").alias("ca"))
+    two = marked.select("e", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("component").alias("cb"), "major")
+    near = ((100 + SIMILARITY) * F.least("ra", "rb") >= SIMILARITY * (F.col("na") + F.col("nb"))) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
     return one.join(two, "e").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
