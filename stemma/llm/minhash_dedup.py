@@ -1,20 +1,21 @@
 """Near-duplicate documents by a multi-index Hamming join over MinHash signatures.
 
 A document's set holds the hashes of its distinct 4-word shingles. Documents with equal sets are one
-class; each class has a signature of ``LANES`` lanes, each a b-bit digest of a minimum. Two sets of
+class; each class has a signature of ``LANES`` lanes, each a 32-bit digest of a minimum. Two sets of
 similarity 0.8 differ in a lane with probability 0.2, so in more than ``DISTANCE`` of 48 lanes with
 one of about a millionth. The signature is split into chunks of ``CHUNK`` lanes: if two signatures
 differ in DISTANCE lanes at most, then by the pigeonhole principle they differ in one lane at most of
 some chunk. Each chunk is indexed once for each lane that may be wrong, so that all pairs under the
 distance share a key.
 
-Within a key's bucket, every class is compared with the bucket's smallest on full sets: as many
-comparisons as there are rows. That may miss links between two that aren't both linked to it, so the
-classes of buckets in which a comparison failed are joined once more, exactly: of two sets of
-similarity s or more, any choice of n - ceil(s n) + 1 elements of each in one order must meet
-(prefix filter; rarest shingles first, so that passages that many documents share stay out of it).
-Classes that are already in one component aren't compared again. All links are confirmed on full
-sets; no bucket, partner or candidate is capped.
+Within a key's bucket, every class is compared with the bucket's smallest: as many comparisons as
+there are rows. Signatures come first (distance, and sizes that allow the similarity), full sets
+confirm what they leave. That may miss links between two that aren't both linked to the smallest, so
+the classes of buckets of three or more in which a comparison failed are joined once more, on their
+signatures: of two that agree in LANES - DISTANCE lanes or more, any choice of DISTANCE + 1 lanes of
+each in one order must meet (prefix filter; rarest lanes first, so that passages that many documents
+share stay out of it). Classes that are already in one component aren't compared again. All links
+are confirmed on full sets; no bucket, partner or candidate is capped.
 
 Nulls: a null text has no words; a null doc_id is its own component (null). Texts without words:
 an empty set, linked with nothing. Fewer than four words: the whole sequence is the one shingle. Very
@@ -24,11 +25,12 @@ tables: empty result. Other columns are not read by ``near_duplicates`` and kept
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.common import stored
@@ -57,7 +59,7 @@ def chunk_keys(lanes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n (size of the set), two sums over the set that tell sets apart, and the chunk keys."""
+    """doc_id, n (size of the set), two sums over the set that tell sets apart, and the lanes as bytes."""
     hasher = MinHash(LANES)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,20 +68,54 @@ def signatures(docs: DataFrame) -> DataFrame:
                 part = frame.iloc[at : at + BATCH]
                 sets = [shingle_set(t) for t in part["text"]]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys = np.zeros((len(sets), LANES), np.int64)
+                lanes = np.zeros((len(sets), LANES), np.uint32)
                 if full:
-                    keys[full] = chunk_keys(hasher([sets[i] for i in full])).view(np.int64)
+                    lanes[full] = hasher([sets[i] for i in full])
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].to_numpy(),
                         "n": [*map(len, sets)],
                         "f1": [int(s.sum().astype(np.int64)) for s in sets],
                         "f2": [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)) for s in sets],
-                        "keys": list(keys),
+                        "lanes": [x.tobytes() for x in lanes],
                     }
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, lanes binary")
+
+
+def lane_rows(raw: Sequence[bytes]) -> np.ndarray:
+    """Signatures, a row each."""
+    return np.frombuffer(b"".join(raw), np.uint32).reshape(-1, LANES)
+
+
+def exploded(classes: DataFrame, made: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(id, key) for each number that ``made`` has for the signature of a class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = made(lane_rows(batch.column("lanes").to_pylist())).view(np.int64)
+            ids = np.repeat(batch.column("id").to_numpy(), keys.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel())], names=["id", "key"])
+
+    return classes.select("id", "lanes").mapInArrow(run, "id long, key long")
+
+
+def lane_values(lanes: np.ndarray) -> np.ndarray:
+    """A number for each lane and its value."""
+    return mix(lanes.astype(np.uint64) | (np.arange(1, LANES + 1, dtype=np.uint64) << np.uint64(32)))
+
+
+def close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) whose signatures are within DISTANCE and whose sizes allow the similarity."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.loc[(lane_rows(frame["x"]) != lane_rows(frame["y"])).sum(1) <= DISTANCE, ["a", "b"]]
+
+    one, two = (classes.select(F.col("id").alias(i), F.col("n").alias(n), F.col("lanes").alias(x)) for i, n, x in (("a", "na", "x"), ("b", "nb", "y")))
+    sized = 100 * F.least("na", "nb") >= SIMILARITY * F.greatest("na", "nb")
+    return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -112,8 +148,11 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInPandas(run, "a long, b long, both long, either long")
 
 
-def similar(both: Column, either: Column) -> Column:
-    return 100 * both >= SIMILARITY * either
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b), stored, those whose full sets reach the similarity."""
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    found = compared(pairs, stored(full_sets(docs, ids), "sets"))
+    return stored(found.where(100 * F.col("both") >= SIMILARITY * F.col("either")).select("a", "b"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -149,62 +188,48 @@ def with_component(df: DataFrame, found: DataFrame, on: str) -> DataFrame:
     return df.join(found.withColumnRenamed("id", on), on, "left").withColumn("component", F.coalesce("component", on))
 
 
-def prefix_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that may reach the similarity, by the prefix filter.
+def prefix_pairs(left: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may be within DISTANCE, by the prefix filter.
 
-    Each pair comes from an element that stands in both prefixes, at places that leave enough
-    elements for the similarity if it is the first that they share. In an element's list, the
-    component with the most members is not paired with itself.
+    Each pair has a lane's value in common that stands in both prefixes. Values that no other class
+    has come first in a prefix and meet nothing, so they only count. In a value's list, the component
+    with the most members is not paired with itself.
     """
-
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i, raw in zip(frame["id"], frame["elements"], strict=True):
-                s = np.frombuffer(raw, np.int64)
-                for at in range(0, len(s), 10_000):
-                    part = s[at : at + 10_000]
-                    yield pd.DataFrame({"id": np.full(len(part), i), "n": len(s), "e": part})
-
-    elements = sets.mapInPandas(split, "id long, n long, e long")
-    counts = elements.groupBy("e").agg(F.count("*").alias("df"))
-    placed = elements.join(counts, "e").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
-    length = (F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1).cast("int")
-    prefix = placed.select("id", "n", F.posexplode(F.slice("es", F.lit(1), length)).alias("pos", "x")).where("x.df > 1").select("id", "n", "x.e", (F.col("n") - F.col("pos")).alias("rest"))
+    elements = exploded(left, lane_values).withColumnRenamed("key", "e")
+    counts = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    placed = elements.join(counts, "e").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))  # LANES at most
+    length = F.greatest(F.lit(DISTANCE + 1 - LANES) + F.size("es"), F.lit(0))
+    prefix = placed.select("id", F.explode(F.slice("es", F.lit(1), length)).alias("x")).select("id", "x.e")
     prefix = stored(with_component(prefix, found, "id"), "prefix")
     sizes = prefix.groupBy("e", "component").agg(F.count("*").alias("c"))
     major = sizes.groupBy("e").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("e", F.col("m.component").alias("major"))
     marked = prefix.join(major, "e")
-    one = marked.where("component <> major").select("e", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("component").alias("ca"))
-    two = marked.select("e", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("component").alias("cb"), "major")
-    near = ((100 + SIMILARITY) * F.least("ra", "rb") >= SIMILARITY * (F.col("na") + F.col("nb"))) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
-    return one.join(two, "e").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one = marked.where("component <> major").select("e", F.col("id").alias("a"), F.col("component").alias("ca"))
+    two = marked.select("e", F.col("id").alias("b"), F.col("component").alias("cb"), "major")
+    new = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
+    return one.join(two, "e").where(new).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that is reachable) and kept, for each row of ``docs``."""
     base = stored(signatures(docs), "signatures")
-    classes = base.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"))
+    classes = base.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.min_by("lanes", "doc_id").alias("lanes"))
     classes = stored(classes, "classes")
-    keyed = base.join(classes.select(F.col("id").alias("doc_id"), "n", "f1", "f2"), ["doc_id", "n", "f1", "f2"], "left_semi")
-    keyed = keyed.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").select("key", "a")
+    keyed = exploded(classes, chunk_keys)
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1")
     members = stored(keyed.join(buckets, "key").where("id <> a"), "members")  # of a bucket, all but the smallest
     pairs = stored(members.select("a", F.col("id").alias("b")).distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(full_sets(docs, ids), "sets")
-    first = stored(compared(pairs, sets), "compared")
-    links = first.where(similar(F.col("both"), F.col("either")))
+    links = confirmed(stored(close(pairs, classes), "close"), docs)
     found = components(links)
-    # what is left: the members, the smallest included, of buckets in which a comparison failed
-    failed = first.where(~similar(F.col("both"), F.col("either"))).select("a", F.col("b").alias("id"))
-    open_keys = members.join(failed, ["a", "id"], "left_semi").select("key").distinct()
-    left = members.join(open_keys, "key", "left_semi").select(F.explode(F.array("a", "id")).alias("id")).distinct()
-    again = prefix_pairs(sets.join(left, "id", "left_semi"), found)
-    more = compared(again, sets).where(similar(F.col("both"), F.col("either")))
+    # what is left: of buckets of three or more in which a comparison failed, all but the smallest
+    failed = pairs.join(links, ["a", "b"], "left_anti").withColumnRenamed("b", "id")
+    open_keys = members.where("c > 2").join(failed, ["a", "id"], "left_semi").select("key").distinct()
+    left = members.where("c > 2").join(open_keys, "key", "left_semi").select("id").distinct()
+    again = prefix_pairs(classes.join(left, "id", "left_semi"), found)
+    more = confirmed(stored(close(again, classes), "close"), docs)
     same = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    # documents of one id and several texts are one document
-    found = components(same.unionByName(more.select("a", "b")))
-    whole = base.join(classes, ["n", "f1", "f2"], "left").withColumn("id", F.when(F.col("n") > 0, F.col("id")))
+    found = components(same.unionByName(more))
+    whole = base.join(classes.drop("lanes"), ["n", "f1", "f2"], "left").withColumn("id", F.when(F.col("n") > 0, F.col("id")))
     whole = with_component(whole.withColumn("id", F.coalesce("id", "doc_id")), found, "id")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
