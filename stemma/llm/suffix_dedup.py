@@ -6,11 +6,12 @@ minimizer, the least hash of its grams of ``GRAM`` bytes: it depends on the wind
 Neighbouring windows with one minimizer form a piece of text. The steps:
 
 1. Documents are dealt into groups of about ``GROUP_BYTES``; each group sends its distinct
-   minimizers, in blocks by hash, and learns which of them occur in another document too.
+   minimizers, in blocks by hash, and gets a bit for each: whether another document has it too.
 2. Pieces under those minimizers go to shards by minimizer, each distinct piece once a group with
    the smallest doc_id that has it.
-3. A shard joins its distinct pieces, builds their suffix array by induced sorting and the permuted
-   common prefixes, and has for each window the smallest doc_id over all equal windows.
+3. A shard joins its distinct pieces minimizer by minimizer, builds their suffix arrays by induced
+   sorting and the permuted common prefixes, and has for each window the smallest doc_id over all
+   equal windows.
 4. The groups get these for their pieces and mark, cut and hash their documents.
 
 Groups, blocks and shards grow in number with the input, not in size: a passage that a third of all
@@ -40,12 +41,14 @@ from stemma.llm.suffix_array import common_prefix_reaches, suffix_array
 LENGTH, GRAM = 50, 20
 #: Bytes of text of a group, about; so many groups share a block of minimizers.
 GROUP_BYTES, GROUPS_A_BLOCK = 1 << 20, 8
+#: Bytes of a suffix array, and how often what one minimizer has beyond that is cut anew.
+ARRAY_BYTES, SALTS = 1 << 18, 4
 LAST = np.iinfo(np.int64).max
 _CHUNK = 1 << 15
 
 
-def window_minima(raw: np.ndarray) -> np.ndarray:
-    """For each window of LENGTH bytes, the least hash of its grams."""
+def window_minima(raw: np.ndarray, salt: int = 0) -> np.ndarray:
+    """For each window of LENGTH bytes, the least hash of its grams; another order of hashes for each salt."""
     n = len(raw) - LENGTH + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
@@ -62,7 +65,7 @@ def window_minima(raw: np.ndarray) -> np.ndarray:
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
         h += words[at + GRAM - 8 : at + GRAM - 8 + grams] >> np.uint64(8 * (16 - (GRAM - 8)))
-        h = mix(h)
+        h = mix(h + np.uint64(salt))
         width = 1
         while 2 * width <= span:
             h = np.minimum(h[:-width], h[width:])
@@ -73,9 +76,9 @@ def window_minima(raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def pieces(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def pieces(raw: np.ndarray, edges: np.ndarray, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, minimizer, document) of each stretch of windows with one minimizer; document i goes from edges[i] to edges[i + 1]."""
-    least = window_minima(raw)
+    least = window_minima(raw, salt)
     if not len(least):
         none = np.zeros(0, np.int64)
         return none, none, least, none
@@ -118,6 +121,11 @@ def _part(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
+def _rest(h: np.ndarray) -> np.ndarray:
+    """32 bits of a hash apart from those that tell its part: the more parts, the more bits in all."""
+    return h.astype(np.uint32)
+
+
 def _blocks(keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     """(part, from, to) for sorted hashes."""
     part = _part(keys, n)
@@ -133,6 +141,8 @@ MINIMIZERS = "block long, grp long, h binary, several binary"
 
 
 def send_minimizers(n_blocks: int) -> Callable[[pa.Table], pa.Table]:
+    """Of each block, in order, what tells its hashes apart (``_rest``), and a bit for each that two documents have."""
+
     def send(table: pa.Table) -> pa.Table:
         ids, raw, edges = _texts(table)
         _, _, keys, docs = pieces(raw, edges)
@@ -141,36 +151,51 @@ def send_minimizers(n_blocks: int) -> Callable[[pa.Table], pa.Table]:
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else order
         several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first) if len(first) else np.zeros(0, bool)
         keys, grp = keys[first], _group(table)
-        rows = [(b, grp, _bytes_of(keys[i:j]), _bytes_of(several[i:j])) for b, i, j in _blocks(keys, n_blocks)]
+        rows = [(b, grp, _bytes_of(_rest(keys[i:j])), _bytes_of(np.packbits(several[i:j]))) for b, i, j in _blocks(keys, n_blocks)]
         return pa.table([*map(list, zip(*rows, strict=True))] or [[], [], [], []], schema=pa.schema([("block", pa.int64()), ("grp", pa.int64()), ("h", pa.binary()), ("several", pa.binary())]))
 
     return send
 
 
-SHARED = "grp long, h binary"
+SHARED = "grp long, block long, shared binary"
 
 
 def shared_minimizers(table: pa.Table) -> pa.Table:
-    keys, sizes = _joined(table.column("h"), np.uint64)
-    several, _ = _joined(table.column("several"), np.bool_)
-    found, place, n = np.unique(keys, return_inverse=True, return_counts=True)
-    more = (n > 1) | (np.bincount(place, several, len(found)) > 0)
-    yes = more[place]
-    rows = [(g, _bytes_of(k[y])) for g, k, y in zip(table.column("grp").to_pylist(), np.split(keys, np.cumsum(sizes)[:-1]), np.split(yes, np.cumsum(sizes)[:-1]), strict=True) if y.any()]
-    return pa.table([*map(list, zip(*rows, strict=True))] or [[], []], schema=pa.schema([("grp", pa.int64()), ("h", pa.binary())]))
+    """For each group, a bit for each of its hashes: whether another document has it too. Two hashes that look alike pass as one, which costs time only."""
+    keys, sizes = _joined(table.column("h"), np.uint32)
+    several = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(r, np.uint8), count=n).astype(bool) for r, n in zip(table.column("several").to_pylist(), sizes, strict=True))])
+    order = np.argsort(keys, kind="stable")
+    found = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else order
+    counts = np.diff(np.append(first, len(found)))
+    more = (counts > 1) | np.logical_or.reduceat(several[order], first) if len(first) else np.zeros(0, bool)
+    yes = np.empty(len(keys), bool)
+    yes[order] = np.repeat(more, counts)
+    bits = [_bytes_of(np.packbits(y)) for y in np.split(yes, np.cumsum(sizes)[:-1])]
+    return pa.table([table.column("grp"), table.column("block"), pa.array(bits, pa.binary())], schema=pa.schema([("grp", pa.int64()), ("block", pa.int64()), ("shared", pa.binary())]))
+
+
+def asked_minimizers(keys: np.ndarray, shared: pa.Table, n_blocks: int) -> np.ndarray:
+    """Of a group's minimizers, those that another document has, in order."""
+    keys = np.unique(keys)
+    bits = dict(zip(shared.column("block").to_pylist(), shared.column("shared").to_pylist(), strict=True))
+    parts = [keys[i:j][np.unpackbits(np.frombuffer(bits[b], np.uint8), count=j - i).astype(bool)] for b, i, j in _blocks(keys, n_blocks)]
+    return np.concatenate([np.zeros(0, np.uint64), *parts])
 
 
 PIECES = "shard long, grp long, h binary, first binary, last binary, size binary, raw binary"
 _PIECES = pa.schema([("shard", pa.int64()), ("grp", pa.int64()), *((c, pa.binary()) for c in ("h", "first", "last", "size", "raw"))])
 
 
-def send_pieces(n_shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def send_pieces(n_blocks: int, n_shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def send(table: pa.Table, shared: pa.Table) -> pa.Table:
         if not table.num_rows or not shared.num_rows:
             return _PIECES.empty_table()
         ids, raw, edges = _texts(table)
         start, end, keys, docs = pieces(raw, edges)
-        asked = np.sort(_joined(shared.column("h"), np.uint64)[0])
+        asked = asked_minimizers(keys, shared, n_blocks)
+        if not len(asked):
+            return _PIECES.empty_table()
         use = asked[np.minimum(np.searchsorted(asked, keys), len(asked) - 1)] == keys
         start, end, keys, owner = start[use], end[use], keys[use], ids[docs[use]]
         h = range_hashes(raw, start, end)
@@ -213,6 +238,47 @@ def window_owners(texts: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> tu
     return owners, whole
 
 
+def least_owners(raw: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.ndarray, salt: int = 0) -> np.ndarray:
+    """For each place in ``raw`` where a window of one of the strings raw[start : start + size] begins, the least owner of a string that holds that window.
+
+    Strings with different minimizers (of the given salt) have no window in common, so they go to
+    suffix arrays of ARRAY_BYTES at most, minimizer by minimizer. What one minimizer has beyond that
+    is cut into the pieces of another salt first.
+    """
+    out = np.full(len(raw), LAST, np.int64)
+    if not len(start):
+        return out
+    h = range_hashes(raw, start, start + size)
+    order = np.lexsort((owner, h))
+    head = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    one, copies = order[head], np.diff(np.append(head, len(order)))  # each distinct string, with its least owner
+    place = np.cumsum(size[one]) - size[one]
+    text = raw[_spread(start[one], size[one])]
+    keys = np.concatenate([window_minima(text[_spread(place[i : i + _CHUNK], np.full(len(place[i : i + _CHUNK]), LENGTH))], salt)[::LENGTH] for i in range(0, len(place), _CHUNK)])
+    by_key = np.argsort(keys, kind="stable")
+    edges = np.append(np.flatnonzero(np.concatenate([[True], keys[by_key][1:] != keys[by_key][:-1]])), len(by_key))
+    sums = np.concatenate([[0], np.cumsum(size[one][by_key])])
+    least = np.empty(len(text), np.int64)
+    k = 0
+    while k < len(edges) - 1:
+        stop = max(k + 1, int(np.searchsorted(sums[edges], sums[edges[k]] + ARRAY_BYTES, "right")) - 1)
+        batch = by_key[edges[k] : edges[stop]]
+        k = stop
+        sizes, whose = size[one][batch], owner[one][batch]
+        at = _spread(place[batch], sizes)
+        if len(at) > ARRAY_BYTES and len(batch) > 1 and salt < SALTS:
+            own = text[at]
+            a, b, _, of = pieces(own, np.concatenate([[0], np.cumsum(sizes)]), salt + 1)
+            least[at] = least_owners(own, a, b - a, whose[of], salt + 1)
+        else:
+            found, _ = window_owners(text[at], sizes, whose)
+            least[at] = found[_spread(np.cumsum(sizes + 1) - (sizes + 1), sizes)]
+    # back to every copy
+    n = np.repeat(size[one], copies)
+    out[_spread(start[order], n)] = least[_spread(np.repeat(place, copies), n)]
+    return out
+
+
 def find_repeats(table: pa.Table) -> pa.Table:
     h, rows = _joined(table.column("h"), np.uint64)
     first, _ = _joined(table.column("first"), np.int64)
@@ -225,15 +291,14 @@ def find_repeats(table: pa.Table) -> pa.Table:
     piece = np.empty(len(h), np.int64)  # of each piece sent: which distinct one it is
     piece[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
     one = order[head]
-    sizes = size[one]
-    owners, whole = window_owners(texts[_spread(place[one], sizes)], sizes, first[one])
-    # stretches of windows of a piece with one owner
-    new = whole & np.concatenate([[True], (owners[1:] != owners[:-1]) | ~whole[:-1]])
-    stop = whole & np.concatenate([(owners[1:] != owners[:-1]) | ~whole[1:], [True]])
-    begin, stop = np.flatnonzero(new), np.flatnonzero(stop) + 1
-    start = np.cumsum(sizes + 1) - (sizes + 1)
-    of = np.searchsorted(start, begin, "right") - 1
-    least, begin, stop = owners[begin], begin - start[of], stop - start[of]
+    owners = least_owners(texts, place[one], size[one], first[one])
+    # stretches of windows of a distinct piece with one owner
+    windows = size[one] - LENGTH + 1
+    at = _spread(place[one], windows)
+    of = np.repeat(np.arange(len(one)), windows)
+    new = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (owners[at[1:]] != owners[at[:-1]])]))
+    stop = np.append(new[1:], len(at)) - 1
+    least, of, begin, stop = owners[at[new]], of[new], at[new] - place[one][of[new]], at[stop] - place[one][of[new]] + 1
     runs = np.searchsorted(of, np.arange(len(one) + 1))
     grps, ends, out = table.column("grp").to_pylist(), np.cumsum(rows), []
     for grp, a, b in zip(grps, ends - rows, ends, strict=True):
@@ -291,7 +356,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     dealt = texts.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
     sent = dealt.groupBy("grp").applyInArrow(send_minimizers(blocks), MINIMIZERS)
     shared = sent.groupBy("block").applyInArrow(shared_minimizers, SHARED)
-    parts = dealt.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(send_pieces(groups), PIECES)
+    parts = dealt.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(send_pieces(blocks, groups), PIECES)
     repeats = parts.groupBy("shard").applyInArrow(find_repeats, REPEATS)
 
     def last(table: pa.Table, found: pa.Table) -> pa.Table:
