@@ -15,36 +15,36 @@ import numpy as np
 def _induce(sa: np.ndarray, t: np.ndarray, want: np.ndarray, starts: np.ndarray) -> None:
     """From left to right, for each suffix i in ``sa`` put i - 1, if wanted, at the head of its bucket (-1: empty place)."""
     n, lo, size = len(sa), 0, 1024
-    head = starts.copy()
+    head, upward = starts.copy(), np.arange(n)
     while lo < n:
         hi = min(n, lo + size)
-        block = sa[lo:hi]
-        source = np.flatnonzero(block > 0)
-        before = block[source] - 1
-        chosen = want[before]
-        source, before = source[chosen], before[chosen]
-        if not len(before):
+        before = sa[lo:hi] - 1
+        source = (want[before] & (before >= 0)).nonzero()[0]
+        if not len(source):
             lo, size = hi, size * 2
             continue
+        before = before[source]
         keys = t[before]
-        order = np.argsort(keys, kind="stable")
+        order = keys.argsort(kind="stable")
         ordered = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        counts = np.diff(np.append(first, len(ordered)))
-        place = head[ordered] + np.arange(len(ordered)) - np.repeat(first, counts)
+        change = np.empty(len(ordered), bool)
+        change[0] = True
+        np.not_equal(ordered[1:], ordered[:-1], out=change[1:])
+        first = change.nonzero()[0]
+        letters = ordered[first]
+        # the k-th of a letter goes k places behind its bucket's head
+        place = (head[letters] - first)[change.cumsum() - 1] + upward[: len(ordered)]
+        found = before[order]
         end = int(place.min())
         if end < hi:  # what the block puts at ``end`` must be read before what follows
             kept = source[order] < end - lo
-            order, ordered, place, hi = order[kept], ordered[kept], place[kept], end
-            if len(ordered):
-                first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-                counts = np.diff(np.append(first, len(ordered)))
-            size = max(256, 2 * (hi - lo))
+            head[letters] += np.add.reduceat(kept, first, dtype=np.int64)
+            sa[place[kept]] = found[kept]
+            size, hi = max(256, 2 * (end - lo)), end
         else:
+            head[letters] += np.add.reduceat(np.ones(len(ordered), np.int64), first)
+            sa[place] = found
             size *= 2
-        if len(ordered):
-            sa[place] = before[order]
-            head[ordered[first]] += counts
         lo = hi
 
 

@@ -42,7 +42,7 @@ LENGTH, GRAM = 50, 20
 #: Bytes of text of a group, about; so many groups share a block of minimizers.
 GROUP_BYTES, GROUPS_A_BLOCK = 1 << 20, 8
 #: Bytes of a suffix array, and how often what one minimizer has beyond that is cut anew.
-ARRAY_BYTES, SALTS = 1 << 18, 4
+ARRAY_BYTES, SALTS = 1 << 19, 4
 LAST = np.iinfo(np.int64).max
 _CHUNK = 1 << 15
 
@@ -88,7 +88,8 @@ def pieces(raw: np.ndarray, edges: np.ndarray, salt: int = 0) -> tuple[np.ndarra
     change = least[1:] != least[:-1]
     first = np.flatnonzero(inside & np.concatenate([[True], change | ~inside[:-1]]))
     last = np.flatnonzero(inside & np.concatenate([change | ~inside[1:], [True]]))
-    return first, last + LENGTH, least[first], np.searchsorted(edges, first, "right") - 1
+    # least hashes are small numbers: mixed anew, they spread over blocks and shards
+    return first, last + LENGTH, mix(least[first]), np.searchsorted(edges, first, "right") - 1
 
 
 def _bytes_of(x: np.ndarray) -> bytes:
@@ -238,17 +239,16 @@ def window_owners(texts: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> tu
     return owners, whole
 
 
-def least_owners(raw: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.ndarray, salt: int = 0) -> np.ndarray:
+def least_owners(raw: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.ndarray, h: np.ndarray, salt: int = 0) -> np.ndarray:
     """For each place in ``raw`` where a window of one of the strings raw[start : start + size] begins, the least owner of a string that holds that window.
 
     Strings with different minimizers (of the given salt) have no window in common, so they go to
     suffix arrays of ARRAY_BYTES at most, minimizer by minimizer. What one minimizer has beyond that
-    is cut into the pieces of another salt first.
+    is cut into the pieces of another salt first. ``h``: hashes that tell the strings apart.
     """
     out = np.full(len(raw), LAST, np.int64)
     if not len(start):
         return out
-    h = range_hashes(raw, start, start + size)
     order = np.lexsort((owner, h))
     head = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
     one, copies = order[head], np.diff(np.append(head, len(order)))  # each distinct string, with its least owner
@@ -269,7 +269,7 @@ def least_owners(raw: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np
         if len(at) > ARRAY_BYTES and len(batch) > 1 and salt < SALTS:
             own = text[at]
             a, b, _, of = pieces(own, np.concatenate([[0], np.cumsum(sizes)]), salt + 1)
-            least[at] = least_owners(own, a, b - a, whose[of], salt + 1)
+            least[at] = least_owners(own, a, b - a, whose[of], range_hashes(own, a, b), salt + 1)
         else:
             found, _ = window_owners(text[at], sizes, whose)
             least[at] = found[_spread(np.cumsum(sizes + 1) - (sizes + 1), sizes)]
@@ -291,7 +291,7 @@ def find_repeats(table: pa.Table) -> pa.Table:
     piece = np.empty(len(h), np.int64)  # of each piece sent: which distinct one it is
     piece[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(h))))
     one = order[head]
-    owners = least_owners(texts, place[one], size[one], first[one])
+    owners = least_owners(texts, place[one], size[one], first[one], h[one])
     # stretches of windows of a distinct piece with one owner
     windows = size[one] - LENGTH + 1
     at = _spread(place[one], windows)
