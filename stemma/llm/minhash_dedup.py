@@ -11,11 +11,11 @@ distance share a key.
 Within a key's bucket, every class is compared with the bucket's smallest: as many comparisons as
 there are rows. Signatures come first (distance, and sizes that allow the similarity), full sets
 confirm what they leave. That may miss links between two that aren't both linked to the smallest, so
-the classes of buckets of three or more in which a comparison failed are joined once more, on their
-signatures: of two that agree in LANES - DISTANCE lanes or more, any choice of DISTANCE + 1 lanes of
-each in one order must meet (prefix filter; rarest lanes first, so that passages that many documents
-share stay out of it). Classes that are already in one component aren't compared again. All links
-are confirmed on full sets; no bucket, partner or candidate is capped.
+the classes of buckets of three or more in which a comparison failed are looked at once more: a prefix
+filter on lanes leaves those that may be within the distance of another component's, and a prefix
+filter on their shingles joins them (rarest first, so that passages that many documents share stay
+out of it). Classes that are already in one component aren't compared again. All links are confirmed
+on full sets; no bucket, partner or candidate is capped.
 
 Nulls: a null text has no words; a null doc_id is its own component (null). Texts without words:
 an empty set, linked with nothing. Fewer than four words: the whole sequence is the one shingle. Very
@@ -148,10 +148,9 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInPandas(run, "a long, b long, both long, either long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b), stored, those whose full sets reach the similarity."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    found = compared(pairs, stored(full_sets(docs, ids), "sets"))
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b) those whose full sets reach the similarity."""
+    found = compared(pairs, sets)
     return stored(found.where(100 * F.col("both") >= SIMILARITY * F.col("either")).select("a", "b"), "links")
 
 
@@ -188,26 +187,57 @@ def with_component(df: DataFrame, found: DataFrame, on: str) -> DataFrame:
     return df.join(found.withColumnRenamed("id", on), on, "left").withColumn("component", F.coalesce("component", on))
 
 
-def prefix_pairs(left: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that may be within DISTANCE, by the prefix filter.
+def common_values(prefix: DataFrame) -> DataFrame:
+    """(e, major) of the values in ``prefix`` (e, component) that several components have, and the component with the most rows."""
+    sizes = prefix.groupBy("e", "component").agg(F.count("*").alias("c"))
+    return sizes.groupBy("e").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("e", F.col("m.component").alias("major"))
+
+
+def near_by_lanes(left: DataFrame, found: DataFrame) -> DataFrame:
+    """The ids of ``left`` that may be within DISTANCE of one in another component, by the prefix filter on lanes.
 
-    Each pair has a lane's value in common that stands in both prefixes. Values that no other class
-    has come first in a prefix and meet nothing, so they only count. In a value's list, the component
-    with the most members is not paired with itself.
+    Of two that agree in LANES - DISTANCE lanes or more, any choice of DISTANCE + 1 lanes of each in
+    one order must meet. Values that no other class has come first and meet nothing.
     """
     elements = exploded(left, lane_values).withColumnRenamed("key", "e")
     counts = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
     placed = elements.join(counts, "e").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))  # LANES at most
     length = F.greatest(F.lit(DISTANCE + 1 - LANES) + F.size("es"), F.lit(0))
     prefix = placed.select("id", F.explode(F.slice("es", F.lit(1), length)).alias("x")).select("id", "x.e")
+    prefix = stored(with_component(prefix, found, "id"), "lanes")
+    return stored(prefix.join(common_values(prefix), "e").select("id").distinct(), "left")
+
+
+def prefix_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may reach the similarity, by the prefix filter on shingles.
+
+    Of two sets of similarity s or more, any choice of n - ceil(s n) + 1 elements of each in one order
+    must meet, at places that leave enough elements for the similarity. Rarest first; those that no
+    other set has only count. In an element's list, the component with the most members is not paired
+    with itself.
+    """
+
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i, raw in zip(frame["id"], frame["elements"], strict=True):
+                s = np.frombuffer(raw, np.int64)
+                for at in range(0, len(s), 10_000):
+                    part = s[at : at + 10_000]
+                    yield pd.DataFrame({"id": np.full(len(part), i), "n": len(s), "e": part})
+
+    elements = sets.mapInPandas(split, "id long, n long, e long")
+    counts = elements.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    placed = elements.join(counts, "e").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))  # of one document
+    alone = F.col("n") - F.size("es")
+    length = F.greatest((F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100) + 1 - alone).cast("int"), F.lit(0))
+    prefix = placed.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("es", F.lit(1), length)).alias("pos", "x"))
+    prefix = prefix.select("id", "n", "x.e", (F.col("n") - F.col("alone") - F.col("pos")).alias("rest"))
     prefix = stored(with_component(prefix, found, "id"), "prefix")
-    sizes = prefix.groupBy("e", "component").agg(F.count("*").alias("c"))
-    major = sizes.groupBy("e").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("e", F.col("m.component").alias("major"))
-    marked = prefix.join(major, "e")
-    one = marked.where("component <> major").select("e", F.col("id").alias("a"), F.col("component").alias("ca"))
-    two = marked.select("e", F.col("id").alias("b"), F.col("component").alias("cb"), "major")
-    new = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
-    return one.join(two, "e").where(new).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    marked = prefix.join(common_values(prefix), "e")
+    one = marked.where("component <> major").select("e", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("component").alias("ca"))
+    two = marked.select("e", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("component").alias("cb"), "major")
+    near = ((100 + SIMILARITY) * F.least("ra", "rb") >= SIMILARITY * (F.col("na") + F.col("nb"))) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
+    return one.join(two, "e").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -219,14 +249,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     buckets = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1")
     members = stored(keyed.join(buckets, "key").where("id <> a"), "members")  # of a bucket, all but the smallest
     pairs = stored(members.select("a", F.col("id").alias("b")).distinct(), "pairs")
-    links = confirmed(stored(close(pairs, classes), "close"), docs)
+    near = stored(close(pairs, classes), "close")
+    ids = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+    links = confirmed(near, stored(full_sets(docs, ids), "sets"))
     found = components(links)
     # what is left: of buckets of three or more in which a comparison failed, all but the smallest
     failed = pairs.join(links, ["a", "b"], "left_anti").withColumnRenamed("b", "id")
     open_keys = members.where("c > 2").join(failed, ["a", "id"], "left_semi").select("key").distinct()
     left = members.where("c > 2").join(open_keys, "key", "left_semi").select("id").distinct()
-    again = prefix_pairs(classes.join(left, "id", "left_semi"), found)
-    more = confirmed(stored(close(again, classes), "close"), docs)
+    left = near_by_lanes(classes.join(left, "id", "left_semi"), found)
+    sets = stored(full_sets(docs, left), "sets")
+    more = confirmed(prefix_pairs(sets, found), sets)
     same = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     found = components(same.unionByName(more))
     whole = base.join(classes.drop("lanes"), ["n", "f1", "f2"], "left").withColumn("id", F.when(F.col("n") > 0, F.col("id")))
