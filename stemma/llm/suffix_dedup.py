@@ -42,7 +42,7 @@ LENGTH, GRAM = 50, 20
 #: Bytes of text of a group, about; so many groups share a block of minimizers.
 GROUP_BYTES, GROUPS_A_BLOCK = 1 << 20, 8
 #: Bytes of a suffix array, and how often what one minimizer has beyond that is cut anew.
-ARRAY_BYTES, SALTS = 1 << 19, 4
+ARRAY_BYTES, SALTS = 1 << 20, 4
 LAST = np.iinfo(np.int64).max
 _CHUNK = 1 << 15
 
