@@ -174,7 +174,7 @@ class Catalog:
     def _with(self, *models: Model) -> Catalog:
         return replace(self, models=self.models | {m.name: replace(m, version=m.version + 1) for m in models})
 
-    def _edit(self, model: str, name: str, **changes) -> Model:
+    def _edit(self, model: str, name: str, /, **changes) -> Model:
         m = self.model(model)
         m.get(name)
         return replace(m, attributes=tuple(replace(a, **changes) if a.name == name else a for a in m))
