@@ -32,8 +32,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
-#: Characters of a candidate at least, and the alphabet of all encodings.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
+#: Characters of a candidate at least, and the alphabet of all encodings; a '=' is padding only at a value's end.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: Alphabets, the narrowest first; a candidate has the first that holds all its characters.
 ALPHABETS = (
     "0123456789abcdef",
