@@ -4,9 +4,14 @@ Texts and benchmark items become templates: words lose punctuation and case, and
 after numbers and names within a sentence become typed placeholders. Windows of ``WINDOW`` template
 words (the whole item, where it is shorter) are hashed and joined on the hash. Of the windows that
 agree at one shift between text and item, the slots must be consistent: a benchmark value that
-stands in several slots has one value in the text. So an item whose numbers or names were changed is
-found, a text that merely has slots at the same places isn't. A document is contaminated by an item
-if windows that agree hold ``COVERAGE`` hundredths of the item's windows.
+stands in several slots has one value in the text. Windows with a slot where it hasn't don't count,
+unless all their words are the item's own. So an item whose numbers or names were changed is found,
+a text that merely has slots at the same places isn't. A document is contaminated by an item if
+windows that agree are ``COVERAGE`` hundredths of the item's windows, or if more than ``COVERAGE``
+hundredths of the item's words stand in windows that agree. For the words, items of 8 to 16 words
+have shorter windows besides, of just under half the item and ``LEAST_RUN`` words at least: whatever
+single word of an item of 11 words or more is replaced, the rest is found. Of shorter items, a
+replaced word in the middle leaves too little. ``coverage`` is the share of windows.
 
 The item windows are broadcast only if there are ``BROADCAST_ROWS`` at most; beyond that the join
 shuffles by hash, where AQE splits hot ones.
@@ -25,6 +30,8 @@ from pyspark.sql import functions as F
 from stemma.llm.common import let, words_of
 
 WINDOW, LEAST_WORDS, COVERAGE = 8, 4, 50
+#: Words of the shorter windows at least.
+LEAST_RUN = 5
 #: Windows of items that are broadcast: some 50 bytes each.
 BROADCAST_ROWS = 500_000
 # fixed values: units of measure
@@ -76,15 +83,25 @@ def windows(hashes: Column, size: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item_id, size, ipos, h, n_windows and the slots in each window."""
+    """item_id, n_words, full (words of a window), short (of one for the words), size, ipos, h, n_windows (of those of ``full`` words) and the slots in each window."""
     items = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), template_hashes(F.col(text_col)).alias("hs"), slots(F.col(text_col)).alias("slots"))
-    items = items.where(F.size("hs") >= LEAST_WORDS).withColumn("size", F.least(F.size("hs"), F.lit(WINDOW)))
+    items = items.withColumn("n_words", F.size("hs")).where(F.col("n_words") >= LEAST_WORDS).withColumn("full", F.least("n_words", F.lit(WINDOW)))
+    half = F.greatest(F.lit(LEAST_RUN), F.floor((F.col("n_words") - 1) / 2).cast("int"))
+    items = items.withColumn("short", F.least("full", half)).withColumn("n_windows", F.col("n_words") - F.col("full") + 1)
+    items = items.withColumn("size", F.explode(F.array_distinct(F.array("full", F.when(F.col("n_words") >= WINDOW, F.col("short")).otherwise(F.col("full"))))))
     by_size = F.when(F.col("size") == WINDOW, windows(F.col("hs"), WINDOW))
     for size in range(LEAST_WORDS, WINDOW):
         by_size = by_size.when(F.col("size") == size, windows(F.col("hs"), size))
-    out = items.withColumn("ws", by_size).select("item_id", "size", "slots", F.size("ws").alias("n_windows"), F.posexplode("ws").alias("ipos", "h"))
+    kept = ("item_id", "n_words", "full", "short", "size", "n_windows")
+    out = items.withColumn("ws", by_size).select(*kept, "slots", F.posexplode("ws").alias("ipos", "h"))
     inside = F.filter("slots", lambda s: (s["pos"] >= F.col("ipos")) & (s["pos"] < F.col("ipos") + F.col("size")))
-    return out.select("item_id", "size", "ipos", "h", "n_windows", F.transform(inside, lambda s: F.struct(s["pos"].alias("pos"), s["value"].alias("value"))).alias("slots"))
+    return out.select(*kept, "ipos", "h", F.transform(inside, lambda s: F.struct(s["pos"].alias("pos"), s["value"].alias("value"))).alias("slots"))
+
+
+def words_covered(starts: Column, size: Column) -> Column:
+    """How many words windows of ``size`` words at these sorted starts hold."""
+    new = F.transform(starts, lambda x, i: F.least(size, F.coalesce(F.get(starts, i + 1) - x, size)))
+    return F.aggregate(new, F.lit(0), lambda n, x: n + x)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,14 +113,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = let(template_hashes(F.col("text")), lambda hs: F.flatten(F.array(*(F.transform(windows(hs, s), lambda h, i: F.struct(h.alias("h"), i.alias("pos"))) for s in sizes))))
     found = named.select("doc_id", F.explode(found).alias("w")).select("doc_id", "w.h", "w.pos")
     hits = found.join(F.broadcast(items) if facts["n"] <= BROADCAST_ROWS else items, "h")
-    hits = hits.select("doc_id", "item_id", "ipos", "n_windows", (F.col("pos") - F.col("ipos")).alias("shift"), "slots")
+    hits = hits.select("doc_id", "item_id", "n_words", "full", "short", "size", "ipos", "n_windows", (F.col("pos") - F.col("ipos")).alias("shift"), "slots")
     if facts["slots"]:
         values = named.select("doc_id", F.explode(slots(F.col("text"))).alias("s")).select("doc_id", F.col("s.pos").alias("pos"), F.col("s.value").alias("found"))
-        asked = hits.select("doc_id", "item_id", "shift", F.explode("slots").alias("s")).select("doc_id", "item_id", "shift", (F.col("shift") + F.col("s.pos")).alias("pos"), F.col("s.value").alias("value")).distinct()
-        clash = asked.join(values, ["doc_id", "pos"]).groupBy("doc_id", "item_id", "shift", "value").agg(F.min("found").alias("a"), F.max("found").alias("b")).where("a <> b")
-        hits = hits.join(clash.select("doc_id", "item_id", "shift").distinct(), ["doc_id", "item_id", "shift"], "left_anti")
-    covered = hits.groupBy("doc_id", "item_id", "n_windows", "ipos").agg(F.lit(1).alias("one")).groupBy("doc_id", "item_id", "n_windows").agg(F.count("*").alias("n"))
-    leaked = covered.where(100 * F.col("n") >= COVERAGE * F.col("n_windows")).withColumn("coverage", F.col("n") / F.col("n_windows"))
+        at = ["doc_id", "item_id", "shift"]
+        asked = hits.select(*at, F.explode("slots").alias("s")).select(*at, F.col("s.pos").alias("ipos"), (F.col("shift") + F.col("s.pos")).alias("pos"), F.col("s.value").alias("value")).distinct()
+        wrong = F.collect_list(F.when(F.col("found") != F.col("value"), F.col("ipos")))
+        by_value = asked.join(values, ["doc_id", "pos"]).groupBy(*at, "value").agg(F.min("found").alias("a"), F.max("found").alias("b"), wrong.alias("wrong"))
+        clash = by_value.groupBy(*at).agg(F.collect_list(F.when(F.col("a") != F.col("b"), F.col("value"))).alias("clashing"), F.flatten(F.collect_list("wrong")).alias("wrong")).where(F.size("clashing") > 0)
+        hits = hits.join(clash, at, "left")
+        clashes = F.exists("slots", lambda s: F.array_contains(F.col("clashing"), s["value"]))
+        other = F.exists("slots", lambda s: F.array_contains(F.col("wrong"), s["pos"]))
+        hits = hits.where(F.col("clashing").isNull() | ~(clashes & other))
+    item = ["doc_id", "item_id", "n_words", "full", "short", "n_windows"]
+    covered = hits.select(*item, "size", "ipos").distinct().groupBy(*item).agg(F.count(F.when(F.col("size") == F.col("full"), 1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("size") == F.col("short"), F.col("ipos")))).alias("starts"))
+    words = words_covered(F.col("starts"), F.col("short"))
+    leaked = covered.where((100 * F.col("n") >= COVERAGE * F.col("n_windows")) | (100 * words > COVERAGE * F.col("n_words"))).withColumn("coverage", F.col("n") / F.col("n_windows"))
     best = F.max(F.struct(F.col("coverage"), (-F.col("item_id")).alias("minus"))).alias("best")
     return leaked.groupBy("doc_id").agg(F.count("*").alias("n_items"), best).select("doc_id", "n_items", (-F.col("best.minus")).alias("item_id"), F.col("best.coverage").alias("coverage"))
 

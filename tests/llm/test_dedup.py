@@ -156,3 +156,26 @@ def test_slots_must_agree(spark):
     df = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert {r.doc_id: r.contaminated for r in decontaminate.verdicts(df, bench).collect()} == {1: True, 2: False}
+
+
+def leaks(spark, texts, items):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return [r.contaminated for r in sorted(decontaminate.verdicts(df, bench).collect(), key=lambda r: r.doc_id)]
+
+
+def test_near_copies_of_short_items(spark):
+    items, texts = [], []
+    for n in range(11, 32):  # whatever single word is replaced
+        items.append([f"i{n}x{chr(97 + k)}" for k in range(n)])
+        texts += [" ".join(["before", "it", *items[-1][:k], "other", *items[-1][k + 1 :], "after"]) for k in range(n)]
+    items.append([f"long{k}x" for k in range(59)])
+    texts.append(" ".join(["before", "it", *items[-1][10:42], "after"]))  # 32 of 59 words
+    clean = [" ".join(["before", "it", *x[: len(x) // 2], "after"]) for x in items]
+    assert leaks(spark, texts + clean, [" ".join(x) for x in items]) == [True] * len(texts) + [False] * len(clean)
+
+
+def test_a_clashing_slot_spoils_its_windows_only(spark):
+    item = "A train goes 60 miles in an hour and after 60 minutes it stops so how far did the train go today"
+    first, second = item.replace("60", "45", 1), item.replace("60 minutes", "45 minutes")
+    assert leaks(spark, [item, first, second, item.replace("60", "45", 1).replace("60", "99", 1)], [item]) == [True, True, True, False]
