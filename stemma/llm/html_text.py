@@ -9,8 +9,11 @@ least ``SHARE`` of the largest one's characters. White space within a block, a l
 becomes one space; character references are decoded.
 
 Nulls: null html has an empty text. Very long pages: whole. Broken markup: an element that isn't
-closed ends with the page or with its parent. Repeated rows: each for itself. Empty tables: empty
+closed ends with the page or with its parent, a p or li also where the next block or li begins. Repeated rows: each for itself. Empty tables: empty
 result. Other columns pass through; names given here replace columns of the same name.
+
+Names are read as whole words of a class or id (``cookie-banner``, not ``share-price``). The ids of
+headings, and of sections within the article, are anchors and say nothing.
 """
 
 from __future__ import annotations
@@ -35,13 +38,28 @@ MAIN = frozenset(("article", "main"))
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMES = re.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertisements?|adsbygoogle|banners?|sponsor(?:ed|s)?|promos?|menus?|nav(?:bar|igation)?|sidebars?|footer|masthead|breadcrumbs?|cookies?|consent|notices?|"
-    r"comments?|disqus|replies|social|share|sharing|related|recommended|popup|modal|newsletter|subscribe|signup|login|pagination|pager|widgets?|toolbar|site-header|page-header)(?![a-z])"
+    r"ads?|adverts?|advertisements?|adsbygoogle|banners?|sponsor(?:ed|s)?|promos?|menus?|nav(?:bar|igation)?|sidebars?|footer|masthead|breadcrumbs?|cookies?|consent|notices?|"
+    r"comments?|disqus|replies|social|share|sharing|related|recommended|popup|modal|newsletter|subscribe|signup|login|pagination|pager|widgets?|toolbar"
+)
+#: What may stand beside them in a class or id: ``ad-slot-1``, ``site-header``.
+BESIDE = re.compile(
+    r"\d*|[a-z]|main|site|page|header|top|bottom|left|right|upper|lower|inner|outer|primary|secondary|mobile|desktop|fixed|sticky|global|box|block|wrap|wrapper|container|content|section|"
+    r"area|bar|slot|unit|item|items|list|links?|buttons?|btn|icons?|panel|overlay|dialog|form|group|row|col|column|region|zone|tools?|media|posts?|articles?|stories|threads?|body|text|title|label"
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({OPAQUE})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>", re.DOTALL | re.IGNORECASE)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that close an open p, as in HTML, and those that an open p or li doesn't reach out of.
+CLOSES_P = HEADINGS | frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form header hgroup hr li main menu nav ol p pre section table ul".split())
+BARRIERS = frozenset("table td th caption button object body html".split())
+
+
+def _named(value: str) -> bool:
+    """Whether a class or id is one of ``NAMES``, alone or beside words that say nothing."""
+    parts = re.split(r"[-_:]+", value)
+    return any(NAMES.fullmatch(p) for p in parts) and all(NAMES.fullmatch(p) or BESIDE.fullmatch(p) for p in parts) or value in ("site-header", "page-header")
 
 
 def _apart(tag: str, attributes: str, in_main: bool) -> bool:
@@ -52,11 +70,25 @@ def _apart(tag: str, attributes: str, in_main: bool) -> bool:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and NAMES.search(value.replace("_", "-")) or name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "id" and (tag in HEADINGS or in_main and tag == "section"):
+            continue
+        if name in ("class", "id") and any(map(_named, value.split())) or name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
 
+def _left_open(tag: str, stack: list[tuple[str, bool, bool]]) -> int:
+    """How many open elements end where ``tag`` begins: those from an open p, or li for a li, upwards."""
+    n = 0
+    for i in range(len(stack) - 1, -1, -1):
+        name = stack[i][0]
+        if name in BARRIERS or name in ("ul", "ol"):
+            break
+        if name == "p" and tag in CLOSES_P or name == "li" and tag == "li":
+            n = len(stack) - i
+    return n
+
+
 def lines(html: str) -> tuple[list[tuple[str, int]], bool]:
     """((text, weight) of each line, whether the page marks its article)."""
     out: list[tuple[str, bool, int]] = []
@@ -97,6 +129,10 @@ def lines(html: str) -> tuple[list[tuple[str, int]], bool]:
                 continue
         flush()
         link = 0 if tag != "a" else link
+        if not m[2] and tag in CLOSES_P:
+            for _ in range(_left_open(tag, stack)):
+                _, off, inside = stack.pop()
+                apart, main = apart - off, main - inside
         if tag in VOID:
             continue
         if not m[2]:
