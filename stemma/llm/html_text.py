@@ -2,11 +2,13 @@
 
 Markup is stripped into lines, one for each block; a line's weight is the length of its text, or 0
 if it stands in a menu, header, footer, sidebar, notice, advert, form, comment section or the like,
-or is mostly links. Weights are summed over sliding windows of ``WINDOW`` lines; a surge is where the
-sums rise from 0, a dive where they fall back to it. The lines with weight between a surge and its
-dive are text: all such stretches of a page that marks its article, otherwise those that hold at
-least ``SHARE`` of the largest one's characters. White space within a block, a line break included,
-becomes one space; character references are decoded.
+or is mostly links; within an article it counts ``MARKED`` times. Weights are summed over sliding
+windows of ``WINDOW`` lines; a surge is where the sums rise from 0 or an article begins or ends, a
+dive where they fall back to 0 or the next surge is. The stretch of the largest weight is the main
+one, with all others in articles if it is in one. Text are the lines with weight of the main one, of
+stretches that have ``SHARE`` of its weight at least, and of shorter ones that stand next to it or
+above it (short articles beside a main one outside are teasers). White space within a block, a line break included, becomes one space; character references
+are decoded.
 
 Nulls: null html has an empty text. Very long pages: whole. Broken markup: an element that isn't
 closed ends with the page or with its parent, a p or li also where the next block or li begins. Repeated rows: each for itself. Empty tables: empty
@@ -28,6 +30,8 @@ from pyspark.sql import types as T
 
 WINDOW = 3
 SHARE = 0.2
+#: Weight of a character in an article.
+MARKED = 2
 #: Characters in links, of all, from which a line is a menu's.
 LINKS = 0.5
 
@@ -89,13 +93,12 @@ def _left_open(tag: str, stack: list[tuple[str, bool, bool]]) -> int:
     return n
 
 
-def lines(html: str) -> tuple[list[tuple[str, int]], bool]:
-    """((text, weight) of each line, whether the page marks its article)."""
+def lines(html: str) -> list[tuple[str, bool, int]]:
+    """(text, whether it is in an article, weight) of each line."""
     out: list[tuple[str, bool, int]] = []
     texts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # open elements: tag, apart, main
     apart = main = link = linked = 0
-    marked = False
     at = 0
 
     def flush() -> None:
@@ -103,7 +106,7 @@ def lines(html: str) -> tuple[list[tuple[str, int]], bool]:
         text = " ".join(unescape("".join(texts)).split())
         if text:
             weight = 0 if apart or linked > LINKS * len(text) and not main else len(text)
-            out.append((text, main > 0, weight))
+            out.append((text, main > 0, weight * MARKED if main else weight))
         texts, linked = [], 0
 
     for m in TOKEN.finditer(html):
@@ -138,7 +141,7 @@ def lines(html: str) -> tuple[list[tuple[str, int]], bool]:
         if not m[2]:
             off, inside = _apart(tag, m[4], main > 0), tag in MAIN and not apart
             stack.append((tag, off, inside))
-            apart, main, marked = apart + off, main + inside, marked or inside
+            apart, main = apart + off, main + inside
         elif any(x[0] == tag for x in stack):
             while True:
                 name, off, inside = stack.pop()
@@ -147,25 +150,30 @@ def lines(html: str) -> tuple[list[tuple[str, int]], bool]:
                     break
     texts.append(html[at:])
     flush()
-    return [(text, weight if inside or not marked else 0) for text, inside, weight in out], marked
+    return out
 
 
 def main_text(html: str | None) -> str:
     """The blocks of the main text, joined by line feeds."""
-    found, marked = lines(html or "")
-    weights = [w for _, w in found]
+    found = lines(html or "")
+    weights = [w for *_, w in found]
     sums = [sum(weights[max(0, i - WINDOW // 2) : i + WINDOW // 2 + 1]) for i in range(len(weights))]
     stretches: list[tuple[int, int]] = []
     start = None
     for i, s in enumerate([*sums, 0]):
-        if s and start is None:
-            start = i  # a surge
-        elif not s and start is not None:
+        if start is not None and (not s or found[i][1] != found[start][1]):
             stretches.append((start, i))  # a dive
             start = None
-    sizes = [sum(weights[a:b]) for a, b in stretches]
-    least = 0 if marked else SHARE * max(sizes, default=0)
-    return "\n".join(found[i][0] for (a, b), n in zip(stretches, sizes, strict=True) if n >= least for i in range(a, b) if weights[i])
+        if s and start is None:
+            start = i  # a surge
+    sized = [(sum(weights[a:b]), a, b, found[a][1]) for a, b in stretches if any(weights[a:b])]
+    if not sized:
+        return ""
+    top = max(range(len(sized)), key=lambda k: sized[k][0])
+    largest, *_, marked = sized[top]
+    last = max(k for k, (*_, inside) in enumerate(sized) if inside) if marked else top
+    kept = [(a, b) for k, (n, a, b, inside) in enumerate(sized) if n >= SHARE * largest or k <= last + 1 and (marked or not inside)]
+    return "\n".join(found[i][0] for a, b in kept for i in range(a, b) if weights[i])
 
 
 def extract_text(df: DataFrame, html_col: str = "html") -> DataFrame:
