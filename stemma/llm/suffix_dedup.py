@@ -19,7 +19,7 @@ documents share reaches its shard once a group. Windows without a minimizer that
 has can't be shared, so nothing is left out. Pieces are told apart by 64-bit hashes.
 
 Nulls: a null text is empty; documents with null doc_ids come after all others and don't take
-anything from each other. Texts under LENGTH bytes lose nothing. Very long texts: whole, one group.
+anything from each other. Texts under LENGTH bytes lose nothing. Very long texts: whole, one group; long runs and periods take linear time.
 Repeated rows: rows of equal doc_id take nothing from each other. Empty tables: empty result. Other
 columns are not read.
 """
@@ -40,9 +40,11 @@ from stemma.llm.suffix_array import common_prefix_reaches, suffix_array
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text of a group, about; so many groups share a block of minimizers.
-GROUP_BYTES, GROUPS_A_BLOCK = 1 << 20, 8
+GROUP_BYTES, GROUPS_A_BLOCK = 4 << 20, 8
 #: Bytes of a suffix array, and how often what one minimizer has beyond that is cut anew.
 ARRAY_BYTES, SALTS = 1 << 20, 4
+#: Bytes of a string that goes into an array, at most; of longer ones slices do that overlap by a window less a byte.
+SLICE = 1 << 16
 LAST = np.iinfo(np.int64).max
 _CHUNK = 1 << 15
 
@@ -129,8 +131,10 @@ def _rest(h: np.ndarray) -> np.ndarray:
 
 def _blocks(keys: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     """(part, from, to) for sorted hashes."""
+    if not len(keys):
+        return []
     part = _part(keys, n)
-    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else part
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
     return [*zip(part[first].tolist(), first.tolist(), [*first[1:].tolist(), len(part)], strict=True)]
 
 
@@ -244,11 +248,18 @@ def least_owners(raw: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np
 
     Strings with different minimizers (of the given salt) have no window in common, so they go to
     suffix arrays of ARRAY_BYTES at most, minimizer by minimizer. What one minimizer has beyond that
-    is cut into the pieces of another salt first. ``h``: hashes that tell the strings apart.
+    is cut into the pieces of another salt first. Long strings go in slices, and a minimizer's only
+    string has nothing to meet. ``h``: hashes that tell the strings apart.
     """
     out = np.full(len(raw), LAST, np.int64)
     if not len(start):
         return out
+    if size.max() > SLICE:
+        step = SLICE - LENGTH + 1
+        n = -(-(size - LENGTH + 1) // step)
+        off = step * _spread(np.zeros(len(n), np.int64), n)
+        start, size, owner = np.repeat(start, n) + off, np.minimum(np.repeat(size, n) - off, SLICE), np.repeat(owner, n)
+        h = range_hashes(raw, start, start + size)
     order = np.lexsort((owner, h))
     head = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
     one, copies = order[head], np.diff(np.append(head, len(order)))  # each distinct string, with its least owner
@@ -266,15 +277,17 @@ def least_owners(raw: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np
         k = stop
         sizes, whose = size[one][batch], owner[one][batch]
         at = _spread(place[batch], sizes)
-        if len(at) > ARRAY_BYTES and len(batch) > 1 and salt < SALTS:
+        if len(batch) == 1:
+            least[at] = whose[0]
+        elif len(at) > ARRAY_BYTES and salt < SALTS:
             own = text[at]
             a, b, _, of = pieces(own, np.concatenate([[0], np.cumsum(sizes)]), salt + 1)
             least[at] = least_owners(own, a, b - a, whose[of], range_hashes(own, a, b), salt + 1)
         else:
             found, _ = window_owners(text[at], sizes, whose)
             least[at] = found[_spread(np.cumsum(sizes + 1) - (sizes + 1), sizes)]
-    # back to every copy
-    n = np.repeat(size[one], copies)
+    # back to every copy's windows
+    n = np.repeat(size[one] - LENGTH + 1, copies)
     out[_spread(start[order], n)] = least[_spread(np.repeat(place, copies), n)]
     return out
 

@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pytest
 
 from stemma.llm import decontaminate, minhash_dedup, queries, suffix_dedup
 from stemma.llm.shingles import range_hashes
@@ -117,6 +119,52 @@ def test_repeats_of_odd_texts(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("texts", [["short", "short"], [None, ""], ["", ""], ["a" * 49] * 3, [None], ["a" * 50, "a" * 50]])
+def test_tables_of_short_texts(spark, texts):
+    docs = list(enumerate(texts, 1))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    assert {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(df).collect()} == brute_repeats(docs)
+
+
+def test_repeats_of_large_and_null_ids_repeated_rows_and_other_columns(spark):
+    text = "a passage that is longer than fifty bytes, so that it can be found again"
+    big = (1 << 53) + 1
+    rows = [(None, text, "x"), (big, text, "y"), (big, text, "y"), (big - 1, "before " + text, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, grp string")
+    got = sorted(((r.doc_id or 0, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect()))
+    assert got == [(0, len(text)), (big - 1, 0), (big, len(text)), (big, len(text))]
+
+
+def test_runs_and_periods_take_linear_time():
+    for period in ([7], [3, 5], [3, 5, 4, 4, 9, 1, 1]):
+        began = time.perf_counter()
+        sa = suffix_array(np.append(np.tile(period, (1 << 20) // len(period)), 0))
+        assert time.perf_counter() - began < 5 and len(np.unique(sa)) == len(sa)
+
+
+def test_long_repetitive_texts(spark):
+    docs = [(1, "x" + " " * 200_000), (2, " " * 150_000 + "y"), (3, "ab" * 100_000), (4, "c" + "ab" * 90_000)]
+    rows = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows == {1: (200_001, 0, 0), 2: (150_001, 150_000, 1), 3: (200_000, 0, 0), 4: (180_001, 180_000, 1)}
+
+
+def test_slices_give_the_same_owners(monkeypatch):
+    rng = random.Random(4)
+    word = lambda: rng.choice(["alpha ", "beta ", "gamma ", "delta "])
+    part = "".join(word() for _ in range(300))
+    texts = [(part[: rng.randrange(200, 900)] + "".join(word() for _ in range(50))).encode() for _ in range(20)]
+    raw, size = np.frombuffer(b"".join(texts), np.uint8), np.array([*map(len, texts)])
+    start, owner = np.cumsum(size) - size, np.arange(20)
+    results = []
+    for most in (1 << 16, 120):
+        monkeypatch.setattr(suffix_dedup, "SLICE", most)
+        # strings as they are, under one minimizer at a time in the same array
+        a, b, _, of = suffix_dedup.pieces(raw, np.append(start, len(raw)))
+        found = suffix_dedup.least_owners(raw, a, b - a, owner[of], range_hashes(raw, a, b))
+        results.append(found[np.concatenate([np.arange(x, y - 49) for x, y in zip(a, b, strict=True)])])
+    assert (results[0] == results[1]).all()
+
+
 def test_large_minimizers_are_cut_anew(monkeypatch):
     rng = random.Random(3)
     parts = ["".join(rng.choice("abcd") for _ in range(200)) for _ in range(40)]
@@ -130,7 +178,8 @@ def test_large_minimizers_are_cut_anew(monkeypatch):
     for most in (1 << 19, 2000):
         monkeypatch.setattr(suffix_dedup, "ARRAY_BYTES", most)
         a, b, _, of = suffix_dedup.pieces(raw, np.append(start, len(raw)))
-        results.append(suffix_dedup.least_owners(raw, a, b - a, owner[of], range_hashes(raw, a, b)))
+        found = suffix_dedup.least_owners(raw, a, b - a, owner[of], range_hashes(raw, a, b))
+        results.append(found[np.concatenate([np.arange(x, y - 49) for x, y in zip(a, b, strict=True)])])
     assert len(h) == 50 and (results[0] == results[1]).all()
 
 
