@@ -65,7 +65,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return sentencepiece_codec.encode_pieces(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids_crc32", "round_trip")
+    return sentencepiece_codec.encode_pieces(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_pieces", "ids_crc32", "round_trip", "parity")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

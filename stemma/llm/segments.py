@@ -9,31 +9,58 @@ Texts for which that can't be told are encoded whole.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct segments that one worker keeps; beyond that it drops those met once, which costs time only.
 KEPT_SEGMENTS = 400_000
-#: Characters of segments that go to the library in one call.
-JOINED_CHARS = 1 << 16
+#: Characters of segments that go to the library as one string.
+JOINED_CHARS = 1 << 14
+
+
+#: Bytes of texts that are encoded together, about.
+TEXT_BYTES = 1 << 20
+
+
+def slices(texts: pa.Array | pa.ChunkedArray) -> list[tuple[int, int]]:
+    """(from, number) of stretches of rows with about TEXT_BYTES of text, one row at least."""
+    sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    block = (np.cumsum(sizes) - sizes) // TEXT_BYTES
+    cuts = [*np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])[: len(block)]).tolist(), len(block)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def code_points(keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(the code points of all keys, where each key ends)."""
+    return np.frombuffer("".join(keys).encode("utf-32-le", "surrogatepass"), "<u4"), np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))
+
+
+def utf8_ends(keys: list[str]) -> np.ndarray:
+    """Where each key ends in the UTF-8 of all."""
+    points, ends = code_points(keys)
+    sizes = 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000)
+    return np.concatenate([[0], np.cumsum(sizes)])[ends]
 
 
 class SegmentEncoder:
     """Encodes texts; the ids are those of ``whole`` on each text.
 
-    whole: encodes texts. joined: encodes many segments in one string, the first with its space.
-    alone: encodes one segment that can't stand in such a string. token_bytes: by id, the bytes a
+    whole: encodes texts. joined: encodes strings of many segments, the first with its space. alone:
+    encodes segments that can't stand in such a string. token_bytes: by id, the bytes a
     token covers; space_bytes: the same for a space. breaks: characters that begin a segment of
-    their own, without a space. code: of a segment, a number below 16, below 8 if it can stand in a
-    joined string. bad: 16 x 16, true if no segment may end between such two; a text that has such
-    a place is encoded whole. first: true if a text's first segment has no space before it (it is
-    kept with one). verify: gets new segments, their ids and where those end, and returns the ids
-    and ends to keep.
+    their own, without a space. codes: of segments, numbers below 16, below 8 for those that can
+    stand in a joined string. bad: 16 x 16, true if no segment may end between such two; a text that
+    has such a place is encoded whole. first: true if a text's first segment has no space before it
+    (it is kept with one). differ: gets new segments, their ids and where those end, and tells for
+    each whether another encoder has other ids; differ_whole: the same for texts and their ids.
     """
 
-    def __init__(self, whole: Callable[[list[str]], list], joined: Callable[[str], list[int]], alone: Callable[[str], list[int]], token_bytes: np.ndarray, space_bytes: int, code: Callable[[str], int], bad: np.ndarray, first: bool, breaks: str = "\n", verify: Callable[[list[str], np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None):
-        self.whole, self.joined, self.alone, self.code, self.bad, self.first, self.breaks, self.verify = whole, joined, alone, code, bad, first, breaks, verify
+    def __init__(self, whole: Callable[[list[str]], list], joined: Callable[[list[str]], list[list[int]]], alone: Callable[[list[str]], list[list[int]]], token_bytes: np.ndarray, space_bytes: int, codes: Callable[[list[str]], np.ndarray], bad: np.ndarray, first: bool, breaks: str = "\n", differ: Callable | None = None, differ_whole: Callable | None = None):
+        self.differ, self.differ_whole = differ, differ_whole
+        self.whole, self.joined, self.alone, self.codes_of, self.bad, self.first, self.breaks = whole, joined, alone, codes, bad, first, breaks
         self.token_bytes, self.space_bytes = token_bytes, space_bytes
         self.forget()
 
@@ -44,95 +71,112 @@ class SegmentEncoder:
         self.index: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.edges = np.zeros(1 << 14, np.int64)  # of segment i: from edges[i] to edges[i + 1]
-        self.seen = np.zeros(0, np.int64)
+        self.seen = np.zeros(1 << 14, np.int64)
         self.codes = np.zeros(1 << 14, np.int8)
+        self.other = np.zeros(1 << 14, np.int8)  # 1: without parity
 
     def _thin(self) -> None:
         """Keep what was met again since the last time, unless that alone is most of it."""
-        old, edges, again = list(self.index), self.edges, np.flatnonzero(self.seen[: len(self.index)] > 1)
-        flat = self.flat
+        n = len(self.index)
+        old, edges, again = list(self.index), self.edges, np.flatnonzero(self.seen[:n] > 1)
+        flat, codes, other = self.flat, self.codes, self.other
         self.forget()
         if 0 < len(again) < KEPT_SEGMENTS // 2:
             sizes = edges[again + 1] - edges[again]
             ends = np.cumsum(sizes)
-            self._keep([old[i] for i in again], flat[np.repeat(edges[again] - ends + sizes, sizes) + np.arange(ends[-1])], ends)
+            self._keep([old[i] for i in again], codes[again], flat[np.repeat(edges[again] - ends + sizes, sizes) + np.arange(ends[-1])], ends, other[again])
 
-    def _keep(self, keys: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+    def _keep(self, keys: list[str], codes: np.ndarray, ids: np.ndarray, ends: np.ndarray, other: np.ndarray | int = 0) -> None:
         """keys: segments; ids: theirs, of key i up to ends[i]."""
         n = len(self.index)
         used = int(self.edges[n])
         while used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(keys) >= len(self.edges):
-            self.edges = np.concatenate([self.edges, np.zeros_like(self.edges)])
-            self.codes = np.concatenate([self.codes, np.zeros_like(self.codes)])
+            self.edges, self.seen, self.codes, self.other = (np.concatenate([x, np.zeros_like(x)]) for x in (self.edges, self.seen, self.codes, self.other))
         self.flat[used : used + len(ids)] = ids
         self.edges[n + 1 : n + 1 + len(keys)] = used + ends
-        self.codes[n : n + len(keys)] = [*map(self.code, keys)]
+        self.codes[n : n + len(keys)] = codes
+        self.other[n : n + len(keys)] = other
         self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
 
     def _learn(self, keys: list[str]) -> None:
-        block: list[str] = []
-        size = 0
-        for key in keys:
-            if self.code(key) >= 8:
-                ids = np.asarray(self.alone(key), np.uint32)
-                self._keep([key], ids, np.array([len(ids)]))
-                continue
-            block.append(key)
-            size += len(key)
-            if size > JOINED_CHARS:
-                self._learn_block(block)
-                block, size = [], 0
-        if block:
-            self._learn_block(block)
-
-    def _learn_block(self, keys: list[str]) -> None:
+        codes = self.codes_of(keys)
+        apart = codes >= 8
+        if apart.any():
+            single = [keys[i] for i in np.flatnonzero(apart)]
+            ids = [np.asarray(x, np.uint32) for x in self.alone(single)]
+            self._keep(single, codes[apart], np.concatenate(ids), np.cumsum([*map(len, ids)]))
+            keys, codes = [keys[i] for i in np.flatnonzero(~apart)], codes[~apart]
+        if not keys:
+            return
         texts = [k if k[0] in self.breaks else " " + k for k in keys]
-        ids = np.asarray(self.joined("".join(texts)), np.uint32)
-        ends = np.cumsum([len(t.encode()) + (self.space_bytes - 1) * (t[0] == " ") for t in texts])
+        block = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // JOINED_CHARS
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(keys)]
+        found = self.joined(["".join(texts[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)])
+        ids = np.fromiter(chain.from_iterable(found), np.uint32)
+        ends = utf8_ends(texts)
+        if self.space_bytes > 1:
+            ends = ends + np.cumsum(np.fromiter((t[0] == " " for t in texts), np.int64, len(texts))) * (self.space_bytes - 1)
         at = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends, "left") + 1
-        if self.verify:
-            ids, at = self.verify(keys, ids, at)
-        self._keep(keys, ids, at)
+        self._keep(keys, codes, ids, at, self.differ(keys, ids, at) if self.differ else 0)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each text)."""
+    def _segments(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(distinct segments, which of them each segment of the texts is, the number of segments by text); empty texts have none."""
+        counts = np.zeros(len(texts), np.int64)
+        full = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        if not len(full):
+            return [], np.zeros(0, np.int64), counts
+        left = texts.take(pa.array(full)) if len(full) < len(texts) else texts
+        for mark in self.breaks:
+            left = pc.replace_substring(left, mark, " " + mark)
+        parts = pc.split_pattern(left, " ")
+        counts[full] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        found = parts.flatten().dictionary_encode()
+        rows, keys = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if self.first:
+            at = (np.cumsum(counts) - counts)[full]
+            first = [" " + keys[i] for i in rows[at]]
+            rows[at] = len(keys) + np.arange(len(first))
+            used, rows = np.unique(rows, return_inverse=True)
+            keys += first
+            keys = [keys[i] for i in used]
+        return keys, rows, counts
+
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each text, by text whether another encoder has other ids for a segment of it); a null is an empty text."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
         if len(self.index) > KEPT_SEGMENTS:
             self._thin()
-        keys: list[str] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            for mark in self.breaks:
-                text = text.replace(mark, " " + mark)
-            parts = text.split(" ")
-            if self.first:
-                parts[0] = " " + parts[0]
-            counts[i] = len(parts)
-            keys += parts
-        rows = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
-        new = np.flatnonzero(rows < 0)
+        keys, local, counts = self._segments(texts)
+        known = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(known < 0)
         if len(new):
             new_keys = [keys[i] for i in new]
             self._learn(list(dict.fromkeys(new_keys)))
-            rows[new] = np.fromiter(map(self.index.__getitem__, new_keys), np.int64, len(new))
-        self.seen = np.concatenate([self.seen, np.zeros(max(0, len(self.index) - len(self.seen)), np.int64)]) + np.bincount(rows, minlength=max(len(self.seen), len(self.index)))
+            known[new] = np.fromiter(map(self.index.__getitem__, new_keys), np.int64, len(new))
+        np.add.at(self.seen, known, np.bincount(local, minlength=len(keys)))
+        rows = known[local]
         starts = self.edges[rows]
         lengths = self.edges[rows + 1] - starts
         before = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.flat[np.repeat(starts - before[:-1], lengths) + np.arange(before[-1])]
         edges = np.concatenate([[0], np.cumsum(counts)])
         sizes = before[edges[1:]] - before[edges[:-1]]
+        others = np.concatenate([[0], np.cumsum(self.other[rows], dtype=np.int64)])
+        differ = others[edges[1:]] > others[edges[:-1]]
         codes = self.codes[rows]
         wrong = np.flatnonzero(self.bad[codes[:-1], codes[1:]]) + 1
         at = np.searchsorted(edges, wrong, "right") - 1  # the text in which the later segment stands
         odd = np.unique(np.concatenate([at[edges[at] < wrong], np.searchsorted(edges, np.flatnonzero(codes == self.WHOLE), "right") - 1]))
         if len(odd):
             parts = np.split(ids, np.cumsum(sizes)[:-1])
-            for i, x in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+            odd_texts = texts.take(pa.array(odd)).to_pylist()
+            found = self.whole(odd_texts)
+            for i, x in zip(odd, found, strict=True):
                 parts[i] = np.asarray(x, np.uint32)
                 sizes[i] = len(x)
             ids = np.concatenate(parts)
-        return ids, sizes
+            if self.differ_whole:
+                differ[odd] = self.differ_whole(odd_texts, found)
+        return ids, sizes, differ

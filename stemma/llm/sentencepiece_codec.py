@@ -3,8 +3,8 @@
 The model's protobuf is read field by field; from it come the normaliser (identity, or the compiled
 character map), the metaspace marker with its dummy prefix, the pieces with their scores, as a
 unigram or BPE model, and byte fallback. New segments are encoded in batches by the library's
-threads and held against the sentencepiece library; where the two differ, the segment takes
-sentencepiece's ids. Decoding joins the bytes of pieces.
+threads, and held against the sentencepiece library: where the two differ, the ids are still the
+tokenizers library's, and ``parity`` of the text is false. Decoding joins the bytes of pieces.
 
 Nulls: a null text is encoded as an empty one, without ids. Very long texts: whole. Repeated rows:
 a row each. Empty tables: empty result. Other columns pass through; names given here replace columns
@@ -21,17 +21,15 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
-from stemma.llm.segments import SegmentEncoder
+from stemma.llm.common import with_columns
+from stemma.llm.segments import SegmentEncoder, slices
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
-#: Documents that one call encodes.
-BATCH = 128
 
 
 def _varint(raw: bytes, i: int) -> tuple[int, int]:
@@ -116,25 +114,32 @@ def build_tokenizer(m: Model, dummy_prefix: bool, split: bool):
     norms = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
     if m.remove_extra_whitespaces:
         norms += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
+    if split:  # each marker begins a new piece; the texts have theirs
+        tok.pre_tokenizer = pre_tokenizers.Metaspace(MARK, "never", True)
+    else:  # the prefix is added to texts that begin with a space, too
+        norms += [*([normalizers.Prepend(MARK)] if dummy_prefix else []), normalizers.Replace(" ", MARK)]
     if norms:
         tok.normalizer = normalizers.Sequence(norms)
-    tok.pre_tokenizer = pre_tokenizers.Metaspace(MARK, "always" if dummy_prefix else "never", split)
     tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if dummy_prefix else [])])
     return tok
 
 
 class Codec:
-    """Encodes and decodes texts by a model file; ``differs`` counts segments without parity."""
+    """Encodes and decodes texts by a model file.
 
-    def __init__(self, path: str, verify: bool = True):
-        import sentencepiece
+    All ids are the tokenizers library's; new segments, and texts that go to it whole, are held
+    against the sentencepiece library's if ``verify``.
+    """
 
+    def __init__(self, path: str, verify: bool = True):
         self.model = m = Model.load(path)
-        self.peer = sentencepiece.SentencePieceProcessor(model_file=path)
         self.tok = build_tokenizer(m, m.dummy_prefix, split=False)
+        self.pieces = build_tokenizer(m, False, split=True)
         self.bytes = [bytes([int(p[1:-1], 16)]) if k == BYTE else b"" if k == CONTROL else p.replace(MARK, " ").encode() for p, k in zip(m.pieces, m.kinds, strict=True)]
-        self.differs = 0
-        pieces = build_tokenizer(m, False, split=True)
+        if verify:
+            import sentencepiece
+
+            self.peer = sentencepiece.SentencePieceProcessor(model_file=path)
         token_bytes = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(m.pieces, m.kinds, strict=True)], np.int64)
         marker = m.pieces.index(MARK) if MARK in m.pieces else m.unknown
         # an empty segment is a marker alone: two of them join; one before a line feed doesn't
@@ -143,34 +148,37 @@ class Codec:
         bad = np.zeros((16, 16), bool)
         bad[8, [0, 8]] = True
         self.encoder = SegmentEncoder(
-            whole=self._whole,
-            joined=lambda text: pieces.encode(text, add_special_tokens=False).ids,
-            alone=lambda key: [marker] if not key else self.peer.encode(key)[key[0] == "\n" :],
+            whole=lambda texts: self._ids(self.tok, texts),
+            joined=lambda texts: self._ids(self.pieces, texts),
+            alone=lambda keys: [[marker] for _ in keys],  # of others than empty ones the text goes whole
             token_bytes=token_bytes,
             space_bytes=len(MARK.encode()),
-            code=code,
+            codes=lambda keys: np.fromiter(map(code, keys), np.int8, len(keys)),
             bad=bad,
             first=False,
-            verify=self._verified if verify else None,
+            differ=self._differ if verify else None,
+            differ_whole=self._differ_whole if verify else None,
         )
 
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        out = []
-        for a, b in zip(self.tok.encode_batch(texts, add_special_tokens=False), self.peer.encode(texts, num_threads=1), strict=True):
-            self.differs += a.ids != b
-            out.append(b)
-        return out
+    @staticmethod
+    def _ids(tok, texts: list[str]) -> list[list[int]]:
+        """By the library's threads."""
+        return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _verified(self, keys: list[str], ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _differ_whole(self, texts: list[str], ids: list[list[int]]) -> np.ndarray:
+        return np.array([list(a) != b for a, b in zip(ids, self.peer.encode(texts, num_threads=1), strict=True)], bool)
+
+    def _differ(self, keys: list[str], ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         peers = self.peer.encode(keys, num_threads=1)
         peers = [p[1:] if k[0] == "\n" else p for p, k in zip(peers, keys, strict=True)]
         flat = np.fromiter(chain.from_iterable(peers), np.uint32)
         at = np.cumsum(np.fromiter(map(len, peers), np.int64, len(peers)))
-        if not (np.array_equal(flat, ids) and np.array_equal(at, ends)):
-            self.differs += sum(list(a) != b for a, b in zip(np.split(ids, ends[:-1]), peers, strict=True))
-        return flat, at
+        if np.array_equal(flat, ids) and np.array_equal(at, ends):
+            return np.zeros(len(keys), bool)
+        return np.array([a.tolist() != b for a, b in zip(np.split(ids, ends[:-1]), peers, strict=True)], bool)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids by text, whether the text has a segment without parity)."""
         return self.encoder.encode(texts)
 
     def decode(self, ids: list) -> list[str]:
@@ -179,46 +187,39 @@ class Codec:
         return [t.removeprefix(" ") for t in texts] if self.model.dummy_prefix else texts
 
 
-@lru_cache(maxsize=2)
-def codec(path: str) -> Codec:
-    return Codec(path)
-
-
-def _columns(df: DataFrame, more: str) -> T.StructType:
-    new = T._parse_datatype_string(more)
-    return T.StructType([f for f in df.schema.fields if f.name not in new.names] + new.fields)
+@lru_cache(maxsize=4)
+def codec(path: str, verify: bool = True) -> Codec:
+    return Codec(path, verify)
 
 
-def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
-    """``df`` with ids (array<int>), n_pieces, ids_crc32 (as little-endian unsigned 32-bit integers) and round_trip (decoded, it is the text)."""
-    schema = _columns(df, "ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean")
+def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", verify: bool = True) -> DataFrame:
+    """``df`` with ids (array<int>), n_pieces, ids_crc32 (as little-endian unsigned 32-bit integers), round_trip (decoded, it is the text) and parity (the sentencepiece library has the same ids; null unless ``verify``)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model_path)
-        for frame in frames:
-            for at in range(0, len(frame), BATCH):
-                part = frame.iloc[at : at + BATCH].reset_index(drop=True)
-                texts = [t if isinstance(t, str) else "" for t in part[text_col]]
-                ids, sizes = c.encode(texts)
-                lists = np.split(ids.astype(np.int32), np.cumsum(sizes)[:-1])
-                part["ids"] = lists
-                part["n_pieces"] = sizes
-                part["ids_crc32"] = [zlib.crc32(x.astype("<u4").tobytes()) for x in lists]
-                part["round_trip"] = [a == b for a, b in zip(c.decode(lists), texts, strict=True)]
-                yield part[schema.names]
+    def run(texts: pa.Array) -> Iterator[dict[str, pa.Array]]:
+        c = codec(model_path, verify)
+        for at, rows in slices(texts):
+            part = texts.slice(at, rows)
+            ids, sizes, differ = c.encode(part)
+            ids, ends = ids.astype(np.int32), np.cumsum(sizes)
+            raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+            lists = [ids[b - n : b] for n, b in zip(sizes, ends, strict=True)]
+            yield {
+                "ids": pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids)),
+                "n_pieces": pa.array(sizes),
+                "ids_crc32": pa.array([zlib.crc32(raw[4 * (b - n) : 4 * b]) for n, b in zip(sizes.tolist(), ends.tolist(), strict=True)], pa.int64()),
+                "round_trip": pa.array([a == (b or "") for a, b in zip(c.decode(lists), part.to_pylist(), strict=True)], pa.bool_()),
+                "parity": pa.array(~differ if verify else [None] * rows, pa.bool_()),
+            }
 
-    return df.mapInPandas(run, schema)
+    return with_columns(df, text_col, run, "ids array<int>, n_pieces long, ids_crc32 long, round_trip boolean, parity boolean")
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     """``df`` with ``text``, decoded from its ids; null for null ids."""
-    schema = _columns(df, "text string")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model_path)
-        for frame in frames:
-            none = frame[ids_col].isna()
-            texts = pd.Series(c.decode([() if gone else x for x, gone in zip(frame[ids_col], none, strict=True)]), index=frame.index, dtype=object)
-            yield frame.assign(text=texts.where(~none, None))[schema.names]
+    def run(ids: pa.Array) -> Iterator[dict[str, pa.Array]]:
+        rows = ids.to_pylist()
+        texts = codec(model_path, False).decode([x or () for x in rows])
+        yield {"text": pa.array([None if x is None else t for x, t in zip(rows, texts, strict=True)], pa.string())}
 
-    return df.mapInPandas(run, schema)
+    return with_columns(df, ids_col, run, "text string")

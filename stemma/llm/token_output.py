@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.llm.common import partitions, shared_dir
-from stemma.llm.segments import SegmentEncoder
+from stemma.llm.segments import SegmentEncoder, code_points, slices
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 #: What the files are written with.
@@ -39,8 +39,6 @@ OPTIONS = {
 }
 #: The tokenizer's pattern parts these from letters and digits before and after, and from a space before.
 BREAKS = "\n.,"
-#: Documents that one call encodes.
-BATCH = 128
 
 
 @lru_cache(maxsize=2)
@@ -55,20 +53,29 @@ def byte_level_encoder(path: str) -> SegmentEncoder:
     for token, i in vocab.items():  # one character of a token stands for one byte
         token_bytes[i] = len(token)
 
-    def code(key: str) -> int:
+    def kinds(points: np.ndarray) -> np.ndarray:
+        """2: white space, 0: letter or digit, 1: another."""
+        distinct, at = np.unique(points, return_inverse=True)
+        return np.array([2 if c.isspace() else 0 if c.isalnum() else 1 for c in map(chr, distinct.tolist())], np.int8)[at]
+
+    def codes(keys: list[str]) -> np.ndarray:
         """Bits 0 and 1: how it ends (letter or digit, mark, white space or empty, an empty first one); 2: it begins with a full stop or comma; 3: alone."""
-        if key in ("", " "):
-            return 8 + 2 + (key == " ")
-        end = 2 if key[-1].isspace() else 0 if key[-1].isalnum() else 1
-        return end + 4 * (key[0] in ".,") + 8 * (end == 2 or key[0] in " .,")
+        points, ends = code_points(keys)
+        starts = np.append(0, ends[:-1])
+        full = ends > starts
+        out = np.full(len(keys), 8 + 2, np.int8)
+        first, end = points[starts[full]], kinds(points[ends[full] - 1])
+        stop = np.isin(first, [ord("."), ord(",")])
+        out[full] = end + 4 * stop + 8 * ((end == 2) | stop | (first == ord(" ")))
+        out[full & (ends - starts == 1) & (points[np.minimum(starts, len(points) - 1)] == ord(" "))] = 8 + 3
+        return out
 
     # runs of white space, and of marks, are not split character by character
     i = np.arange(16)
     bad = ((i & 3 == 2)[:, None] | ((i & 3 == 1)[:, None] & (i & 4 > 0)[None, :]))
     whole = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    ids = lambda text: tok.encode(text, add_special_tokens=False).ids
-    alone = lambda key: ids(key[1:] if key[:1] == " " else key if key[:1] and key[0] in BREAKS else " " + key)
-    return SegmentEncoder(whole, lambda text: whole([text])[0], alone, token_bytes, 1, code, bad, first=True, breaks=BREAKS)
+    alone = lambda keys: whole([k[1:] if k[:1] == " " else k if k[:1] and k[0] in BREAKS else " " + k for k in keys])
+    return SegmentEncoder(whole, whole, alone, token_bytes, 1, codes, bad, first=True, breaks=BREAKS)
 
 
 def encode_table(df: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
@@ -77,9 +84,9 @@ def encode_table(df: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = byte_level_encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                ids, sizes = encoder.encode([t or "" for t in part.column("text").to_pylist()])
+            for at, rows in slices(batch.column("text")):
+                part = batch.slice(at, rows)
+                ids, sizes, _ = encoder.encode(part.column("text"))
                 ends = np.cumsum(sizes)
                 ids = np.insert(ids, ends, end_id).astype(np.int32)
                 offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])
