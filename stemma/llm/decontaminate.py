@@ -129,8 +129,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     covered = hits.select(*item, "size", "ipos").distinct().groupBy(*item).agg(F.count(F.when(F.col("size") == F.col("full"), 1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("size") == F.col("short"), F.col("ipos")))).alias("starts"))
     words = words_covered(F.col("starts"), F.col("short"))
     leaked = covered.where((100 * F.col("n") >= COVERAGE * F.col("n_windows")) | (100 * words > COVERAGE * F.col("n_words"))).withColumn("coverage", F.col("n") / F.col("n_windows"))
-    best = F.max(F.struct(F.col("coverage"), (-F.col("item_id")).alias("minus"))).alias("best")
-    return leaked.groupBy("doc_id").agg(F.count("*").alias("n_items"), best).select("doc_id", "n_items", (-F.col("best.minus")).alias("item_id"), F.col("best.coverage").alias("coverage"))
+    best = F.min_by(F.struct("item_id", "coverage"), F.struct(-F.col("coverage"), F.col("item_id")))
+    return leaked.groupBy("doc_id").agg(F.count("*").alias("n_items"), best.alias("best")).select("doc_id", "n_items", "best.item_id", "best.coverage")
 
 
 def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

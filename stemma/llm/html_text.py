@@ -24,9 +24,11 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+
+from stemma.llm.common import with_columns
+from stemma.llm.segments import slices
 
 WINDOW = 3
 SHARE = 0.2
@@ -178,12 +180,10 @@ def main_text(html: str | None) -> str:
 
 def extract_text(df: DataFrame, html_col: str = "html") -> DataFrame:
     """``df`` without ``html_col``, with text and n_chars (its code points)."""
-    new = T._parse_datatype_string("text string, n_chars long")
-    schema = T.StructType([f for f in df.schema.fields if f.name not in (*new.names, html_col)] + new.fields)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = [main_text(h) for h in frame[html_col]]
-            yield frame.assign(text=texts, n_chars=[*map(len, texts)])[schema.names]
+    def run(pages: pa.Array) -> Iterator[dict[str, pa.Array]]:
+        for at, rows in slices(pages):
+            texts = [main_text(h) for h in pages.slice(at, rows).to_pylist()]
+            yield {"text": pa.array(texts, pa.string()), "n_chars": pa.array([*map(len, texts)], pa.int64())}
 
-    return df.mapInPandas(run, schema)
+    return with_columns(df, html_col, run, "text string, n_chars long", drop=(html_col,))

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stemma.llm.common import stored
+from stemma.llm.segments import slices
 from stemma.llm.shingles import MinHash, mix, shingle_set
 
 #: Similarity from which documents are linked, in hundredths.
@@ -41,7 +42,6 @@ SIMILARITY = 80
 LANES, CHUNK = 48, 4
 #: Lanes in which two signatures may differ: then one chunk at least has three equal lanes.
 DISTANCE = 2 * (LANES // CHUNK) - 1
-BATCH = 256
 
 
 def chunk_keys(lanes: np.ndarray) -> np.ndarray:
@@ -62,26 +62,23 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n (size of the set), two sums over the set that tell sets apart, and the lanes as bytes."""
     hasher = MinHash(LANES)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), BATCH):
-                part = frame.iloc[at : at + BATCH]
-                sets = [shingle_set(t) for t in part["text"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, rows in slices(batch.column("text")):
+                part = batch.slice(at, rows)
+                sets = [shingle_set(t) for t in part.column("text").to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 lanes = np.zeros((len(sets), LANES), np.uint32)
                 if full:
                     lanes[full] = hasher([sets[i] for i in full])
-                yield pd.DataFrame(
-                    {
-                        "doc_id": part["doc_id"].to_numpy(),
-                        "n": [*map(len, sets)],
-                        "f1": [int(s.sum().astype(np.int64)) for s in sets],
-                        "f2": [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)) for s in sets],
-                        "lanes": [x.tobytes() for x in lanes],
-                    }
+                columns = (
+                    [*map(len, sets)],
+                    [int(s.sum().astype(np.int64)) for s in sets],
+                    [int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum().astype(np.int64)) for s in sets],
                 )
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns), pa.array([x.tobytes() for x in lanes], pa.binary())], names=["doc_id", "n", "f1", "f2", "lanes"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, f1 long, f2 long, lanes binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, lanes binary")
 
 
 def lane_rows(raw: Sequence[bytes]) -> np.ndarray:

@@ -24,11 +24,14 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stemma.llm.common import with_columns
+from stemma.llm.segments import slices
+
 #: Labelled rows that the model is fitted on, at most.
 TRAIN_ROWS = 20_000
 BINS, PAIR_BINS, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, LEAVES = 32, 8, 60, 20, 6, 0.15, 4
@@ -37,7 +40,7 @@ THRESHOLD = 0.3
 FEATURES = ("log_words", "word_bytes", "capitals", "digits", "symbols", "shouts", "stops", "lines", "distinct", "neighbours", "repeated_lines", "high_bytes", "longest")
 
 
-def features(texts: list[str]) -> np.ndarray:
+def features(texts: list[str | None]) -> np.ndarray:
     """A row of FEATURES for each text."""
     out = np.zeros((len(texts), len(FEATURES)))
     for i, text in enumerate(texts):
@@ -124,7 +127,7 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.full(len(x), self.bias)
-        for j, table in enumerate(self.tables):
+        for j, table in enumerate(self.tables):  # none, if there was nothing to learn
             total += table[np.searchsorted(self.cuts[j], x[:, j], "right")]
         for a, b, table in self.pairs:
             total += table[np.searchsorted(self.pair_cuts[a], x[:, a], "right"), np.searchsorted(self.pair_cuts[b], x[:, b], "right")]
@@ -133,8 +136,10 @@ class Model:
 
 def fit(x: np.ndarray, y: np.ndarray) -> Model:
     """The model of features ``x`` and labels ``y`` (0 or 1); the same for the same rows in any order."""
-    order = np.lexsort((*x.T, y))
-    x, y = x[order], y[order].astype(float)
+    y = np.asarray(y, float)
+    if len(y):
+        order = np.lexsort((*x.T, y))
+        x, y = x[order], y[order]
     share = float(y.mean()) if len(y) else 0.5
     bias = float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1)))
     m = Model(bias, [], [], [], [])
@@ -178,29 +183,27 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Model:
     """Fit on ``rows`` labelled documents at most. ``labels`` must hold no row that is kept for tests."""
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("__label"))
-    known = known.orderBy(F.xxhash64(id_col), id_col).limit(rows)
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("double").alias("label"))
+    known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
     # at most ``rows`` rows of two numbers
-    texts = docs.select(id_col, text_col).join(F.broadcast(known), id_col).select(text_col, "__label")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "label")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = pd.DataFrame(features([t if isinstance(t, str) else "" for t in frame[text_col]]), columns=list(FEATURES))
-            yield out.assign(label=frame["__label"].to_numpy(float))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = features(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*map(pa.array, x.T), batch.column("label")], names=[*FEATURES, "label"])
 
     schema = T.StructType([T.StructField(n, T.DoubleType()) for n in (*FEATURES, "label")])
-    found = texts.mapInPandas(run, schema).limit(rows).toPandas()
-    return fit(found[list(FEATURES)].to_numpy(), found["label"].to_numpy())
+    found = texts.mapInArrow(run, schema).limit(rows).toPandas()
+    return fit(found[list(FEATURES)].to_numpy(float), found["label"].to_numpy(float))
 
 
 def score(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``df`` with score (0 to 1) and predicted (1 from THRESHOLD)."""
-    new = T._parse_datatype_string("score double, predicted int")
-    schema = T.StructType([f for f in df.schema.fields if f.name not in new.names] + new.fields)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            s = model.score(features([t if isinstance(t, str) else "" for t in frame[text_col]]))
-            yield frame.assign(score=s, predicted=(s >= THRESHOLD).astype(np.int32))[schema.names]
+    def run(texts: pa.Array) -> Iterator[dict[str, pa.Array]]:
+        for at, rows in slices(texts):
+            s = model.score(features(texts.slice(at, rows).to_pylist()))
+            yield {"score": pa.array(s), "predicted": pa.array((s >= THRESHOLD).astype(np.int32))}
 
-    return df.mapInPandas(run, schema)
+    return with_columns(df, text_col, run, "score double, predicted int")

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import let, words_of
+from stemma.llm.common import let, stored, words_of
 
 #: Rows of the sample on which costs and selectivities are estimated.
 SAMPLE_ROWS = 256
@@ -108,13 +108,15 @@ RULES = (
 
 
 def estimate(df: DataFrame, rules: Sequence[Rule], text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """Of each rule: its seconds over a sample of ``rows`` rows at most, and the share that it rejects.
+    """Of each rule: its seconds over a sample of about ``rows`` rows, and the share that it rejects.
 
     Each rule runs as one aggregate over the same sample; the driver gets one row of figures. Only
     the order of evaluation depends on them.
     """
-    sample = df.select(F.col(text_col).alias("text")).limit(rows)
-    sample = df.sparkSession.createDataFrame(sample.collect(), "text string").withColumn("words", words_of(F.col("text")))
+    # drawn over the whole table and kept in Spark: the driver gets no text
+    total = df.count()
+    sample = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).sample(min(1.0, rows / total) if total else 1.0, 1)
+    sample = stored(sample, "sample").withColumn("words", words_of(F.col("text")))
     m = Measures.of(F.col("text"), F.col("words"))
 
     def run(condition: Column) -> tuple[float, float]:
@@ -153,9 +155,12 @@ def filter_quality(df: DataFrame, text_col: str = "text", rules: Sequence[Rule]
 def measured(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``df`` with the base measures, ``base_failed`` and ``kept``."""
     order = ordered(estimate(df, rules, text_col))
-    words = df.withColumn("__words", words_of(F.col(text_col)))
-    m = Measures.of(F.col(text_col), F.col("__words"))
+    # the whole row in one column, so that no name of the input's can clash
+    words = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).alias("text"), words_of(F.col(text_col)).alias("words"))
+    m = Measures.of(F.col("text"), F.col("words"))
     out = words.withColumns({name: getattr(m, name) for name in BASE})
-    m = Measures(F.coalesce(F.col(text_col), F.lit("")), F.col("__words"), *(F.col(name) for name in BASE))
+    m = Measures(F.coalesce(F.col("text"), F.lit("")), F.col("words"), *(F.col(name) for name in BASE))
     out = out.withColumn("base_failed", rejected(BASE_RULES, m))
-    return out.withColumn("kept", ~F.col("base_failed") & ~rejected(order, m)).drop("__words")
+    out = out.withColumn("kept", ~F.col("base_failed") & ~rejected(order, m))
+    new = (*BASE, "base_failed", "kept")
+    return out.select(*(F.col("row")[c].alias(c) for c in df.columns if c not in new), *new)

@@ -22,11 +22,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
+
+from stemma.llm.common import with_columns
+from stemma.llm.segments import slices
 
 # fixed values: the patterns of the base kinds
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -160,7 +165,8 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
         return [], []
     base = base_spans(text)
     seen = [(m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text)]
-    seen = [x for x in seen if not any(a < x[1] and x[0] < b for a, _, b in base)]
+    starts, reach = [a for a, *_ in base], list(accumulate((b for *_, b in base), max))  # ends of what begins up to each
+    seen = [x for x in seen if not (k := bisect_left(starts, x[1])) or reach[k - 1] <= x[0]]
     more = [(a, 3, b) for (a, b, _), yes in zip(seen, discoveries([t for *_, t in seen]), strict=True) if yes] if seen else []
     return base, sorted(base + more)
 
@@ -179,42 +185,32 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _columns(df: DataFrame, more: str) -> T.StructType:
-    new = T._parse_datatype_string(more)
-    return T.StructType([f for f in df.schema.fields if f.name not in new.names] + new.fields)
-
-
 def find_secrets(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with n_assign, n_access, n_hex, base_sha256 (of the base spans as written) and spans (kind:start:end, comma-joined)."""
-    schema = _columns(df, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [scan(t) for t in frame[text_col]]
-            frame = frame.assign(
-                **{f"n_{KINDS[k]}": [sum(x[1] == k for x in base) for base, _ in found] for k in range(3)},
-                base_sha256=[hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found],
-                spans=[written(spans) for _, spans in found],
-            )
-            yield frame[schema.names]
+    def run(texts: pa.Array) -> Iterator[dict[str, pa.Array]]:
+        for at, rows in slices(texts):
+            found = [scan(t) for t in texts.slice(at, rows).to_pylist()]
+            yield {
+                **{f"n_{KINDS[k]}": pa.array([sum(x[1] == k for x in base) for base, _ in found], pa.int64()) for k in range(3)},
+                "base_sha256": pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found], pa.string()),
+                "spans": pa.array([written(spans) for _, spans in found], pa.string()),
+            }
 
-    return df.mapInPandas(run, schema)
+    return with_columns(df, text_col, run, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact_secrets(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``df`` with placeholders for the secrets in its texts, and the length of texts that change in ``length_col``."""
-    schema = df.schema
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = {i: spans for i, t in enumerate(frame[text_col]) if (spans := scan(t)[1])}
-            if found:
-                texts = list(frame[text_col])
-                for i, spans in found.items():
-                    texts[i] = redacted(texts[i], spans)
-                frame[text_col] = texts
-                if length_col in frame:
-                    frame[length_col] = [len(t) if i in found else n for i, (t, n) in enumerate(zip(texts, frame[length_col], strict=True))]
-            yield frame
-
-    return df.mapInPandas(run, schema)
+
+    def run(texts: pa.Array) -> Iterator[dict[str, pa.Array]]:
+        for at, rows in slices(texts):
+            found = texts.slice(at, rows).to_pylist()
+            yield {"__redacted": pa.array([redacted(t, spans) if (spans := scan(t)[1]) else None for t in found], pa.string())}
+
+    out = with_columns(df, text_col, run, "__redacted string")
+    new = {text_col: F.coalesce("__redacted", text_col)}
+    if length_col in df.columns:
+        kind = df.schema[length_col].dataType
+        new[length_col] = F.when(F.col("__redacted").isNotNull(), F.length("__redacted").cast(kind)).otherwise(F.col(length_col))
+    return out.withColumns(new).select(*df.columns)

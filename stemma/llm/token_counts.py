@@ -1,13 +1,14 @@
 """Token counts under a unigram model, by dynamic programming over a trie of distinct words.
 
-The distinct words of a batch are taken in sorted order, which is the order in which a walk over
-their trie meets them: the stack holds the best score and its number of tokens at each node of the
-current path, so what words share at their start is computed once. The count at a word's last node
-is kept for later batches. A document's count is the sum over its words.
+Distinct words are inserted in a trie that a worker keeps from batch to batch. A node holds the best
+score of its prefix and the number of tokens of that, so what words share at their start is computed
+once; the number at a word's last node is its count. A document's count is the sum over its words.
 
 Scores come from a SentencePiece model file: a unigram model's own, else log probabilities by rank
-(Zipf's law, in the order of the file). A character without a piece costs its UTF-8 bytes, as by
-byte fallback. Equal scores: the fewer tokens.
+(Zipf's law, in the order of the file). For a BPE model the counts are thus those of a unigram model
+with its pieces, an estimate of the BPE's own: tokenizers aren't trained here, so there are no better
+scores. A character without a piece costs its UTF-8 bytes, as by byte fallback. Equal scores: the
+fewer tokens.
 
 Nulls: a null text has no words. Very long texts and words: whole. Repeated rows: each for itself.
 Empty tables: empty result. Other columns pass through; names given here replace columns of the same
@@ -23,55 +24,56 @@ from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
+from stemma.llm.common import with_columns
+from stemma.llm.segments import slices
 from stemma.llm.sentencepiece_codec import CONTROL, MARK, NORMAL, UNIGRAM, USER, Model
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: Distinct words that one worker keeps; beyond that it starts anew, which costs time only.
-KEPT_WORDS = 1_000_000
-#: Documents of one trie.
-BATCH = 512
+#: Nodes that one worker keeps; beyond that it starts anew, which costs time only.
+KEPT_NODES = 1_000_000
 
 
 class UnigramCounter:
     def __init__(self, scores: dict[str, float], unknown: float):
         self.scores, self.unknown = scores, unknown
         self.longest = max(map(len, scores), default=1)
-        self.counts: dict[str, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.counts: dict[str, int] = {}  # at the last nodes of words
+        self.next: dict[tuple[int, str], int] = {}  # the trie: (node, character) to node
+        self.best, self.tokens = [0.0], [0]  # forward scores of the nodes, and their numbers of tokens
 
     def learn(self, words: list[str]) -> None:
-        """Count the tokens of new words; each stands with a marker before it."""
-        scores, longest = self.scores, self.longest
-        best, tokens = [0.0], [0]
-        before = ""
-        for word in sorted(words):
-            path = MARK + word
-            shared = 0
-            most = min(len(path), len(before))
-            while shared < most and path[shared] == before[shared]:
-                shared += 1
-            del best[shared + 1 :], tokens[shared + 1 :]
-            for end in range(shared + 1, len(path) + 1):
-                n = len(path[end - 1].encode())
-                top, least = best[end - 1] + n * self.unknown, tokens[end - 1] + n
-                for start in range(max(0, end - longest), end):
-                    score = scores.get(path[start:end])
-                    if score is not None:
-                        score += best[start]
-                        if score > top or score == top and tokens[start] + 1 < least:
-                            top, least = score, tokens[start] + 1
-                best.append(top)
-                tokens.append(least)
-            self.counts[word] = tokens[-1]
-            before = path
+        """Insert new words; each stands with a marker before it."""
+        scores, longest, following, best, tokens = self.scores, self.longest, self.next, self.best, self.tokens
+        for word in words:
+            path, node, nodes = MARK + word, 0, [0]
+            for end, character in enumerate(path, 1):
+                child = following.get((node, character))
+                if child is None:
+                    n = len(character.encode("utf-8", "surrogatepass"))
+                    top, least = best[node] + n * self.unknown, tokens[node] + n
+                    for start in range(max(0, end - longest), end):
+                        score = scores.get(path[start:end])
+                        if score is not None:
+                            score += best[nodes[start]]
+                            if score > top or score == top and tokens[nodes[start]] + 1 < least:
+                                top, least = score, tokens[nodes[start]] + 1
+                    child = following[node, character] = len(best)
+                    best.append(top)
+                    tokens.append(least)
+                node = child
+                nodes.append(node)
+            self.counts[word] = tokens[node]
 
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(words, tokens) of each text."""
-        if len(self.counts) > KEPT_WORDS:
-            self.counts = {}
+        if len(self.best) > KEPT_NODES:
+            self.forget()
         words: list[str] = []
         n = np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
@@ -82,7 +84,7 @@ class UnigramCounter:
         new = np.flatnonzero(counts < 0)
         if len(new):
             keys = [words[i] for i in new]
-            self.learn(list(set(keys)))
+            self.learn(list(dict.fromkeys(keys)))
             counts[new] = np.fromiter(map(self.counts.__getitem__, keys), np.int64, len(new))
         sums = np.concatenate([[0], np.cumsum(counts)])
         ends = np.cumsum(n)
@@ -101,15 +103,11 @@ def counter(model_path: str) -> UnigramCounter:
 
 def count_tokens(df: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """``df`` with n_words and n_tokens."""
-    new = T._parse_datatype_string("n_words long, n_tokens long")
-    schema = T.StructType([f for f in df.schema.fields if f.name not in new.names] + new.fields)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: pa.Array) -> Iterator[dict[str, pa.Array]]:
         c = counter(model_path)
-        for frame in frames:
-            for at in range(0, len(frame), BATCH):
-                part = frame.iloc[at : at + BATCH]
-                words, tokens = c.count([t if isinstance(t, str) else "" for t in part[text_col]])
-                yield part.assign(n_words=words, n_tokens=tokens)[schema.names]
+        for at, rows in slices(texts):
+            words, tokens = c.count([t or "" for t in texts.slice(at, rows).to_pylist()])
+            yield {"n_words": pa.array(words), "n_tokens": pa.array(tokens)}
 
-    return df.mapInPandas(run, schema)
+    return with_columns(df, text_col, run, "n_words long, n_tokens long")
