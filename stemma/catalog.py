@@ -54,6 +54,7 @@ class Attribute:
     unique: bool = False
     display_name: str | None = None
     description: str | None = None
+    format_hint: str | None = None
     group: str | None = None
 
     @property
@@ -66,7 +67,7 @@ class Attribute:
 
     def template(self) -> dict:
         out = {"name": self.name, "attribute_type": self.type, "display_name": self.display_name or self.name.replace("_", " ").title()}
-        more = {"link_model_name": self.model if self.type in LINKS else None, "link_attribute_name": self.via, "options": list(self.options) or None, "validation": self.validation, "description": self.description, "attribute_group": self.group}
+        more = {"link_model_name": self.model if self.type in LINKS else None, "link_attribute_name": self.via, "options": list(self.options) or None, "validation": self.validation, "description": self.description, "format_hint": self.format_hint, "attribute_group": self.group, "column_name": self.column}
         return out | {k: v for k, v in more.items() if v is not None} | {k: getattr(self, k) for k in ("restricted", "hidden", "read_only", "unique")}
 
 
@@ -79,6 +80,8 @@ class Model:
     key: str = "id"
     identity: str | None = None
     root: bool = False
+    #: One record at most, as of a project.
+    single: bool = False
     version: int = 0
     dictionary: tuple[str, tuple[tuple[str, str], ...]] | None = None
     date_shift_root: bool = False
@@ -104,7 +107,7 @@ class Model:
         return self.get(self.identity).stored if self.identity else self.key
 
     def template(self) -> dict:
-        return {"name": self.name, "identifier": self.identity or self.key, "parent": self.parent.model if self.parent else None, "version": self.version, "dictionary": self.dictionary, "attributes": {a.name: a.template() for a in self}}
+        return {"name": self.name, "identifier": self.identity or self.key, "parent": self.parent.model if self.parent else None, "version": self.version, "dictionary": self.dictionary and {"dictionary_model": self.dictionary[0], "attributes": dict(self.dictionary[1])}, "date_shift_root": self.date_shift_root, "attributes": {a.name: a.template() for a in self}}
 
     def schema(self) -> T.StructType:
         """Of the stored columns."""

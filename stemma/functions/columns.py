@@ -36,6 +36,14 @@ def to_number(value) -> float:
     return float(found[0]) if found else 0.0
 
 
+def to_integer(value) -> int | float:
+    """``to_number``, exact for whole numbers of 64 bits."""
+    whole = value if isinstance(value, int) else int(value) if re.match(r"\s*[+-]?\d+\s*\Z", str(value)) else None
+    if whole is None and (v := to_number(value)).is_integer():
+        whole = int(v)
+    return float(whole) if whole is not None and abs(whole) >= 2**63 else to_number(value) if whole is None else whole
+
+
 def iso_time(c: Column) -> Column:
     return F.date_format(c.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
@@ -67,12 +75,11 @@ def hmac_sha256(key: str, message: Column) -> Column:
 
 
 def shift_days(root_id: Column, salt: str) -> Column:
-    """0 to 365 days, by the HMAC of a root record's identifier as a fraction of 2^256."""
+    """Whole days, 0 to 364: the HMAC of a root record's identifier as a fraction of 2^256, times 365, cut off."""
     top = F.conv(F.substring(hmac_sha256(salt, root_id.cast("string")), 1, 13), 16, 10).cast("double")
-    return top / F.lit(float(2**52)) * 365
+    return F.floor(top / F.lit(float(2**52)) * 365).cast("int")
 
 
 def shifted(time: Column, root_id: Column, salt: str) -> Column:
     """``time`` moved back by the root record's days; null without a root record."""
-    seconds = F.round(shift_days(root_id, salt) * 86400).cast("long")
-    return (time.cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))).cast("timestamp_ntz")
+    return (time.cast("timestamp_ntz") - F.make_dt_interval(shift_days(root_id, salt))).cast("timestamp_ntz")

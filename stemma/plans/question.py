@@ -9,17 +9,19 @@ that no branch multiplies another. All of it stays lazy; Catalyst chooses join s
 from __future__ import annotations
 
 import itertools
+import math
+import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.catalog import MANY, ONE, UP, Attribute, Catalog, Model, User
 from stemma.errors import Forbidden, QuestionError
-from stemma.functions.columns import iso_time, matrix_row, matrix_slice, numeric_text, parse_date, to_number
+from stemma.functions.columns import iso_time, matrix_row, matrix_slice, numeric_text, parse_date, to_integer, to_number
 
 QUANTIFIERS = ("::any", "::every")
 COMPARE: dict[str, Callable[[Column, Any], Column]] = {
@@ -43,6 +45,8 @@ PREDICATES = {
     "match": ["::type", "::value"],
     "matrix": ["::slice"],
 }
+#: Rows up to the end of a page that is cut off by a sort with limit and offset.
+NEAR = 100_000
 _names = itertools.count()
 
 
@@ -50,8 +54,22 @@ def fresh() -> str:
     return f"__{next(_names)}"
 
 
+def integer_condition(c: Column, verb: str, value: Any) -> Column:
+    """A comparison of whole numbers with a bound of their own type, so that it reaches the scan."""
+    v = to_integer(value)
+    if isinstance(v, int):
+        return COMPARE[verb](c, F.lit(v))
+    if abs(v) >= 2**63:
+        return COMPARE[verb](c.cast("double"), F.lit(v))
+    if verb in ("::=", "::!="):
+        return F.when(c.isNotNull(), F.lit(verb == "::!="))
+    return COMPARE[verb](c, F.lit(math.floor(v) if verb in ("::>", "::<=") else math.ceil(v)))
+
+
 def scalar_condition(c: Column, a: Attribute, args: Sequence) -> Column:
     """``verb operand`` on a stored value."""
+    if not args:
+        raise QuestionError(f"{a.name} is not a Boolean")
     verb, *rest = args
     value = rest[0] if rest else None
     if a.type in ("file", "image") and verb in ("::equals", "::not"):
@@ -65,9 +83,11 @@ def scalar_condition(c: Column, a: Attribute, args: Sequence) -> Column:
             return COMPARE[verb](c, F.lit(parse_date(value)).cast("timestamp_ntz"))
     elif a.type in ("integer", "float"):
         if verb in COMPARE:
-            return COMPARE[verb](c, F.lit(to_number(value)))
+            return integer_condition(c, verb, value) if a.type == "integer" else COMPARE[verb](c, F.lit(to_number(value)))
         if isinstance(value, list) and verb in ("::in", "::not", "::notin"):
-            found = c.isin([to_number(v) for v in value]) if value else F.lit(False)
+            numbers = [to_integer(v) for v in value] if a.type == "integer" else [to_number(v) for v in value]
+            numbers = [v for v in numbers if a.type == "float" or isinstance(v, int)]  # no integer is one of the others
+            found = c.isin(numbers) if numbers else F.lit(False)
             return found if verb == "::in" else ~found
     elif a.type in ("string", "identifier"):
         if verb == "::matches":
@@ -84,6 +104,27 @@ def scalar_condition(c: Column, a: Attribute, args: Sequence) -> Column:
     raise QuestionError(f"{verb} is not a valid argument to {a.type} {a.name}")
 
 
+def not_before(sort: Sequence[Column], first: Sequence) -> Column:
+    """Whether a row is not before ``first``, ascending, nulls last; never null."""
+    found = F.lit(True)
+    for c, v in reversed([*zip(sort, first, strict=True)]):
+        found = c.isNull() & found if v is None else c.isNull() | F.coalesce(c > F.lit(v), F.lit(False)) | (F.coalesce(c == F.lit(v), F.lit(False)) & found)
+    return found
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written below ``spark.checkpoint.dir``; where that is unset a local master gets a local folder, and on a cluster it is an error."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        top = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not top:
+            if not context.master.startswith("local"):
+                raise QuestionError("set spark.checkpoint.dir to a folder that driver and executors share")
+            top = "file://" + tempfile.gettempdir() + "/stemma-checkpoints"
+        context.setCheckpointDir(top)
+    return df.checkpoint()
+
+
 def _list(value) -> list:
     if not isinstance(value, (list, tuple)):
         raise QuestionError(f"{value} is not a list")
@@ -172,9 +213,12 @@ class Engine:
         if start:
             df = self._connected(df, model, not show_disconnected)
         for f in filters:
-            keys = self._keys(model, _list(f))
-            if keys is not None:
-                df = df.join(keys, model.key, "left_semi")
+            if (keys := self._keys(model, _list(f))) is not None:
+                column, found = keys
+                df = df.join(found, column, "left_semi").select(*df.columns)
+            elif f and f[0] == "::lacks" and len(f) == 2 and model.get(f[1]).type in MANY + ONE:
+                column, found = self._keys(model, ["::has", f[1]])
+                df = df.join(found, column, "left_anti").select(*df.columns)
             else:
                 columns = df.columns
                 df, condition = self.condition(df, model, f)
@@ -183,17 +227,24 @@ class Engine:
 
     # filters
 
-    def _keys(self, model: Model, f: list) -> DataFrame | None:
-        """The keys that a filter leaves, for those that are quantified or ask for a list; others: None."""
+    def _keys(self, model: Model, f: list) -> tuple[str, DataFrame] | None:
+        """A column of ``model`` and the values of it that a filter leaves, perhaps repeated, for filters that are quantified or ask for a list; others: None."""
         if f and f[0] == "::has" and len(f) == 2 and (a := model.get(f[1])).type in MANY + ONE:
             back = self.catalog.back(model, a)
             child = self.visible(self.catalog.model(a.model))
-            return child.where(F.col(back.stored).isNotNull()).select(F.col(back.stored).alias(model.key)).distinct()
+            return model.key, child.where(F.col(back.stored).isNotNull()).select(F.col(back.stored).alias(model.key))
         if f and f[0] not in ("::and", "::or") and isinstance(f[-1], str) and f[-1] in QUANTIFIERS:
-            flags = self._quantified(model, f[:-1], f[-1])
-            return flags.where("flag").select(F.col("k").alias(model.key))
+            column, flags = self._quantified(model, f[:-1], f[-1])
+            return column, flags.where("flag").select(F.col("k").alias(column))
         return None
 
+    def _held(self, df: DataFrame, keys: tuple[str, DataFrame]) -> tuple[DataFrame, Column]:
+        """``df`` with a mark on the rows whose column is among ``keys``."""
+        column, found = keys
+        name, key = fresh(), fresh()
+        marks = found.distinct().select(F.col(column).alias(key), F.lit(True).alias(name))
+        return df.join(marks, F.col(column) == F.col(key), "left").drop(key), F.col(name).isNotNull()
+
     def condition(self, df: DataFrame, model: Model, f: Sequence) -> tuple[DataFrame, Column]:
         """``df``, perhaps with more columns, and whether the filter holds for a row."""
         f = _list(f)
@@ -208,8 +259,7 @@ class Engine:
                 raise QuestionError(f"{f[0]} has no filters")
             return df, reduce(lambda x, y: x & y if f[0] == "::and" else x | y, parts)
         if (keys := self._keys(model, f)) is not None:
-            name = fresh()
-            return df.join(keys.withColumn(name, F.lit(True)), model.key, "left"), F.col(name).isNotNull()
+            return self._held(df, keys)
         if f[0] in ("::has", "::lacks"):
             return self._present(df, model, model.get(f[1]), f[0] == "::has")
         if f[0] == "::identifier":
@@ -250,7 +300,8 @@ class Engine:
         by, own = (other.key, a.stored) if a.type in UP else (self.catalog.back(model, a).stored, model.key)
         right = sub.select(F.col(by).alias(key), *(c.alias(n) for n, c in columns.items()))
         if a.type in ONE:
-            right = right.groupBy(key).agg(*(F.first(n).alias(n) for n in columns))
+            # of several children the one with the least identifier
+            right = sub.select(F.col(by).alias(key), F.col(other.identifier).alias("__by"), *(c.alias(n) for n, c in columns.items())).groupBy(key).agg(*(F.min_by(n, "__by").alias(n) for n in columns))
         return df.join(right, F.col(own) == F.col(key), "left").drop(key)
 
     def _flag(self, df: DataFrame, model: Model, a: Attribute, f: list) -> tuple[DataFrame, Column]:
@@ -259,14 +310,13 @@ class Engine:
         f = f[0] if len(f) == 1 and isinstance(f[0], list) else f
         sub, c = self.condition(self.visible(other), other, f)
         by, own = (other.key, a.stored) if a.type in UP else (self.catalog.back(model, a).stored, model.key)
-        right = sub.groupBy(F.col(by).alias(key)).agg(F.max(c).alias(name))
+        right = sub.select(F.col(by).alias(key), c.alias(name)) if a.type in UP else sub.groupBy(F.col(by).alias(key)).agg(F.max(c).alias(name))
         return df.join(right, F.col(own) == F.col(key), "left").drop(key), F.col(name)
 
     def _present(self, df: DataFrame, model: Model, a: Attribute, has: bool) -> tuple[DataFrame, Column]:
         if a.type in MANY + ONE:
-            keys, name = self._keys(model, ["::has", a.name]), fresh()
-            df = df.join(keys.withColumn(name, F.lit(True)), model.key, "left")
-            return df, F.col(name).isNotNull() if has else F.col(name).isNull()
+            df, held = self._held(df, self._keys(model, ["::has", a.name]))
+            return df, held if has else ~held
         c = F.col(a.stored)
         if has:
             return df, c.isNotNull()
@@ -274,8 +324,8 @@ class Engine:
             return df, c.isNull() | c["filename"].isNull() | (c["filename"] == "null")
         return df, c.isNull()
 
-    def _quantified(self, model: Model, args: list, verb: str) -> DataFrame:
-        """k (a key of ``model``) and flag: whether any, or every, of the last model's rows passes each of the filters.
+    def _quantified(self, model: Model, args: list, verb: str) -> tuple[str, DataFrame]:
+        """A column of ``model`` (its key, or that of a link), and k (a value of it) and flag: whether any, or every, of the last model's rows passes each of the filters.
 
         No rows: not even ``::every`` holds. A filter that gives null doesn't hold. Models between are
         walked through: one row that leads on is enough.
@@ -290,9 +340,9 @@ class Engine:
         other = self.catalog.model(a.model)
         sub, parts = self.visible(other), []
         if len(names) > 1:
-            flags = self._quantified(other, [*names[1:], *filters], verb)
-            name = fresh()
-            sub = sub.join(flags.select(F.col("k").alias(other.key), F.col("flag").alias(name)), other.key, "left")
+            column, flags = self._quantified(other, [*names[1:], *filters], verb)
+            name, key = fresh(), fresh()
+            sub = sub.join(flags.select(F.col("k").alias(key), F.col("flag").alias(name)), F.col(column) == F.col(key), "left")
             parts, verb = [F.col(name)], "::any"
         else:
             for f in filters:
@@ -300,15 +350,13 @@ class Engine:
                 parts.append(c)
         parts = [F.coalesce(c, F.lit(False)) for c in parts] or [F.lit(True)]
         if a.type in UP:
-            passed = sub.select(F.col(other.key).alias("up"), reduce(lambda x, y: x & y, parts).alias("flag"))
-            own = self.tables[model.name].select(F.col(model.key).alias("k"), F.col(a.stored).alias("up"))
-            return own.join(passed, "up").select("k", "flag")
+            return a.stored, sub.select(F.col(other.key).alias("k"), reduce(lambda x, y: x & y, parts).alias("flag"))
         back = self.catalog.back(model, a).stored
         named = {fresh(): c for c in parts}
         fold = F.max if verb == "::any" else F.min  # each filter is quantified for itself
         out = sub.where(F.col(back).isNotNull()).select(F.col(back).alias("k"), *(c.alias(n) for n, c in named.items()))
         out = out.groupBy("k").agg(*(fold(n).alias(n) for n in named))
-        return out.select("k", reduce(lambda x, y: x & y, [F.col(n) for n in named]).alias("flag"))
+        return model.key, out.select("k", reduce(lambda x, y: x & y, [F.col(n) for n in named]).alias("flag"))
 
     # outputs
 
@@ -338,12 +386,25 @@ class Engine:
         return (*self._scalar(df, a, rest), [label(a.name), self._slice_names(a, rest)] if a.type == "matrix" else label(a.name))
 
     def _table(self, df: DataFrame, model: Model, columns: list) -> tuple[DataFrame, Column, Any]:
-        cells, forms = [], []
-        for i, column in enumerate(columns):
-            df, c, form = self.project(df, model, [column] if isinstance(column, str) else list(column), True)
-            cells.append(c.alias(f"_{i}"))
-            forms.append(form)
-        return df, F.struct(*cells), forms
+        """Columns that begin with the same link to one record share its join."""
+        paths = [[c] if isinstance(c, str) else list(c) for c in columns]
+        shared: dict[str, list[int]] = {}
+        for i, path in enumerate(paths):
+            if path and isinstance(path[0], str) and (a := model.find(path[0])) and a.type in UP + ONE:
+                shared.setdefault(path[0], []).append(i)
+        cells: dict[int, Column] = {}
+        forms: dict[int, Any] = {}
+        for i, path in enumerate(paths):
+            if i in cells:
+                continue
+            together = shared.get(path[0], [i]) if path and isinstance(path[0], str) else [i]
+            if len(together) == 1:
+                df, cells[i], forms[i] = self.project(df, model, path, True)
+                continue
+            df, c, found = self.project(df, model, [path[0], [paths[j][1:] or ["::identifier"] for j in together]], True)
+            for k, j in enumerate(together):
+                cells[j], forms[j] = c[f"_{k}"], found[k]
+        return df, F.struct(*(cells[i].alias(f"_{i}") for i in range(len(paths)))), [forms[i] for i in range(len(paths))]
 
     def _slice_names(self, a: Attribute, args: list) -> list[str]:
         return list(args[1]) if args and args[0] == "::slice" else list(a.options)
@@ -376,8 +437,9 @@ class Engine:
             raise QuestionError(f"{verb} is not a valid argument to {a.type} {a.name}")
         if self.file_metadata is None:
             return df, F.lit(None).cast("string")
-        name, value = fresh(), F.col("file_hash" if verb == "::md5" else "updated_at")
-        known = self.file_metadata.select(F.col("filename").alias("__file"), value.alias(name))
+        name, value = fresh(), "file_hash" if verb == "::md5" else "updated_at"
+        # of several entries of a file the latest
+        known = self.file_metadata.groupBy(F.col("filename").alias("__file")).agg(F.max(F.struct("updated_at", "file_hash"))[value].alias(name))
         if a.type != "file_collection":
             return df.join(known, c["filename"] == F.col("__file"), "left").drop("__file"), F.col(name)
         row = fresh()  # lists that are equal have equal answers
@@ -443,7 +505,7 @@ class Engine:
 
     # questions
 
-    def ask(self, question: Sequence, order: str | None = None, page: int | None = None, page_size: int | None = None, show_disconnected: bool = False) -> Answer:
+    def ask(self, question: Sequence, order: str | None = None, page: int | None = None, page_size: int | None = None, show_disconnected: bool = False, bounds: DataFrame | None = None) -> Answer:
         if not self.user.can_view:
             raise Forbidden("You are not allowed to view this project")
         question = _list(question)
@@ -471,43 +533,75 @@ class Engine:
         if verb == "::distinct":
             c = self._distinct_column(model, output)
             return Answer(df.where(c.isNotNull()).select(c.alias("answer")).distinct().orderBy("answer"), label, False)
-        by = model.find(order) if order else None
-        by = by if by and by.type not in MANY + ONE else None
-        sort = [F.col(by.stored).asc_nulls_last()] if by else []
-        sort.append(identity.asc_nulls_last())
+        sort = self._sort(model, order)
         df = df.where(identity.isNotNull())
         if page_size is not None:
-            df = self._page(df, model, sort, page or 1, page_size)
+            df = self._page(df, sort, page or 1, page_size, bounds)
         if verb == "::first":
-            df = df.orderBy(*sort).limit(1)
-        columns = [F.col(by.stored).alias("__order")] if by else []
+            df = df.orderBy(*(c.asc_nulls_last() for c in sort)).limit(1)
         df, value, form = self.project(df, model, output)
-        out = df.select(identity.alias("identifier"), value.alias("answer"), *columns)
+        out = df.select(identity.alias("identifier"), value.alias("answer"), *(c.alias(f"__order{i}") for i, c in enumerate(sort[:-1])))
         if verb == "::first":
             return Answer(out.select("answer"), form, True)
-        out = out.orderBy(*([F.col("__order").asc_nulls_last()] if columns else []), F.col("identifier").asc_nulls_last())
-        return Answer(out.drop("__order"), [label, form], False)
+        out = out.orderBy(*(F.col(f"__order{i}").asc_nulls_last() for i in range(len(sort) - 1)), F.col("identifier").asc_nulls_last())
+        return Answer(out.select("identifier", "answer"), [label, form], False)
 
-    def _page(self, df: DataFrame, model: Model, sort: list[Column], page: int, page_size: int) -> DataFrame:
-        """Page by sort and offset of the keys alone; their rows follow by a semi join."""
+    def _page(self, df: DataFrame, sort: list[Column], page: int, page_size: int, bounds: DataFrame | None = None) -> DataFrame:
+        """The rows of a page: those between its first row and the next page's.
+
+        ``bounds`` are sought by one distributed sort of all keys. A page near the beginning, of which no task has
+        to hold more than NEAR rows, is simply cut off there.
+        """
         if page_size < 2:
             raise QuestionError("Page size must be greater than 1")
         if page < 1:
             raise QuestionError("Page must start at 1")
-        keys = df.orderBy(*sort).offset((page - 1) * page_size).limit(page_size).select(model.key)
-        if keys.isEmpty():
+        if bounds is None and page * page_size <= NEAR:
+            firsts = df.select(*(c.alias(f"s{i}") for i, c in enumerate(sort))).orderBy(*(F.col(f"s{i}").asc_nulls_last() for i in range(len(sort)))).limit(page * page_size + 1).offset((page - 1) * page_size).collect()
+            # at most two pages; of those only the first rows are needed
+            found = {page: firsts[0]} if firsts else {}
+            if len(firsts) > page_size:
+                found[page + 1] = firsts[page_size]
+        else:
+            bounds = self._bounds(df, sort, page_size) if bounds is None else bounds
+            found = {r["page"]: r[1:] for r in bounds.where(F.col("page").isin(page, page + 1)).collect()}
+        if page not in found:
             raise QuestionError(f"Page {page} not found")
-        return df.join(keys, model.key, "left_semi")
-
-    def pages(self, question: Sequence, page_size: int, **more):
-        """The answers of all pages, one after the other."""
+        df = df.where(not_before(sort, found[page]))
+        return df.where(~not_before(sort, found[page + 1])) if page + 1 in found else df
+
+    def _bounds(self, df: DataFrame, sort: list[Column], page_size: int) -> DataFrame:
+        """page and its first row's sort columns, a row for each page; written once, as ranks depend on how ranges were drawn."""
+        names = [f"s{i}" for i in range(len(sort))]
+        order = [F.col(n).asc_nulls_last() for n in names]
+        keys = df.select(*(c.alias(n) for c, n in zip(sort, names, strict=True))).repartitionByRange(*order).sortWithinPartitions(*order)
+        placed = checkpointed(keys.withColumn("m", F.monotonically_increasing_id()))
+        placed = placed.select(*names, F.shiftright("m", 33).alias("part"), F.col("m").bitwiseAND((1 << 33) - 1).alias("i"))
+        sizes = placed.groupBy("part").agg(F.count("*").alias("n"))  # a row for each partition
+        before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+        rank = F.col("before") + F.col("i")
+        firsts = placed.join(F.broadcast(before), "part").where(rank % page_size == 0)
+        return checkpointed(firsts.select((rank / page_size + 1).cast("long").alias("page"), *names))
+
+    def pages(self, question: Sequence, page_size: int, order: str | None = None, show_disconnected: bool = False):
+        """The answers of all pages, one after the other; the bounds of all pages are sought once."""
+        model = self.catalog.model(question[0])
+        filters, *_ = self._split(list(question[1:]))
+        df = self.rows(model, filters, True, show_disconnected)
+        sort = self._sort(model, order)
+        bounds = self._bounds(df.where(F.col(model.identifier).isNotNull()), sort, page_size) if page_size > 1 else None
         for page in itertools.count(1):
             try:
-                yield self.ask(question, page=page, page_size=page_size, **more)
+                yield self.ask(question, order, page, page_size, show_disconnected, bounds)
             except QuestionError as e:
                 if page > 1 and str(e) == f"Page {page} not found":
                     return
                 raise
 
+    def _sort(self, model: Model, order: str | None) -> list[Column]:
+        """By attribute ``order``, if it is one with a value, and by identity."""
+        by = model.find(order) if order else None
+        return [*([F.col(by.stored)] if by and by.type not in MANY + ONE else []), F.col(model.identifier)]
+
     def _listing(self, rows: list, schema: str) -> Answer:
         return Answer(self.spark.createDataFrame(rows, schema), None, False)

@@ -6,9 +6,11 @@ import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stemma.catalog import MANY, ONE, UP, Attribute, Model
 from stemma.errors import QuestionError
@@ -30,6 +32,10 @@ class Request:
     show_disconnected: bool = False
     collapse_tables: bool = False
     output_predicate: str | None = None
+    hide_templates: bool = False
+    expand_matrices: bool = False
+    transpose: bool = False
+    format: str = "json"
 
     def check(self) -> None:
         if not self.model_name:
@@ -38,6 +44,8 @@ class Request:
             raise QuestionError("Improperly formed record names")
         if self.attribute_names not in ("all", "identifier") and not isinstance(self.attribute_names, (list, tuple)):
             raise QuestionError("Improperly formed attribute names")
+        if self.format not in ("json", "tsv"):
+            raise QuestionError(f"{self.format} is not an output format")
 
 
 def filter_terms(text: str | Sequence[str] | None) -> list[str]:
@@ -100,7 +108,7 @@ class Retrieval:
                 self.model.get(name)
             by_name = {a.name: a for a in found}
             found = [by_name[n] for n in dict.fromkeys([*([self.model.identity] if self.model.identity else []), *asked]) if n in by_name]
-        self.attributes = [a for a in found if not (self.request.collapse_tables and a.type == "table")]
+        self.attributes = [a for a in found if not ((self.request.collapse_tables or self.request.format == "tsv") and a.type == "table")]
 
     def slices(self) -> dict[str, list[str]]:
         out = {}
@@ -162,11 +170,21 @@ class Retrieval:
     def payload(self) -> dict:
         """Documents by identifier with the model's template; the one place where rows come to the driver."""
         first = {"count": self.count()} if self.request.page == 1 else {}
-        found = {self.model.name: {"documents": {str(r[0]): r.asDict(True) for r in self.documents().collect()}, "template": self.model.template(), **first}}
+        template = lambda m: {} if self.request.hide_templates else {"template": m.template()}
+        found = {self.model.name: {"documents": {str(r[0]): r.asDict(True) for r in self.documents().collect()}, **template(self.model), **first}}
         for name, rows in self.tables().items():
-            found[name] = {"documents": {str(r[0]): r.asDict(True) for r in rows.collect()}, "template": self.engine.catalog.model(name).template()}
+            found[name] = {"documents": {str(r[0]): r.asDict(True) for r in rows.collect()}, **template(self.engine.catalog.model(name))}
         return {"models": found}
 
+    def tsv(self) -> DataFrame:
+        """Text columns by attribute, without hidden ones; a matrix in one column as JSON, or in a column for each of its own; ``transpose``: rows of attribute and cells."""
+        shown = [a for a in self.shown if not a.hidden]
+        slices = self.slices()
+        matrices = {a.name: slices.get(a.name, list(a.options)) for a in shown if a.type == "matrix"} if self.request.expand_matrices else None
+        df = self.documents()
+        out = tsv_frame(df.select("identifier", *(a.name for a in shown)), matrices)
+        return transposed(out) if self.request.transpose else out.drop("identifier")
+
 
 def text_cell(df: DataFrame, name: str) -> Column:
     """A value as it stands in a TSV file: lists parted by commas, nothing for null and empty lists."""
@@ -202,8 +220,91 @@ def tsv_frame(df: DataFrame, matrices: dict[str, Sequence[str]] | None = None, r
 
 
 def transposed(df: DataFrame) -> DataFrame:
-    """Columns become rows; for answers that fit on one machine, as their records become columns."""
-    rows = df.collect()
-    names = ["c0", *(f"c{i + 1}" for i in range(len(rows)))]
-    data = [(c, *(r[i] for r in rows)) for i, c in enumerate(df.columns)]
-    return df.sparkSession.createDataFrame(data, ", ".join(f"{n} string" for n in names))
+    """A row for each column of ``df`` but the first: its place, its name, and its cells in the order of the first column.
+
+    As each row holds all records, what is transposed should be a page; nothing goes through the driver.
+    """
+    first, *names = df.columns
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("position"), F.lit(n).alias("column"), F.col(f"`{n}`").alias("cell")) for i, n in enumerate(names))))
+    rows = df.select(F.col(f"`{first}`").alias("by"), cells.alias("c"))
+    return rows.groupBy("c.position", "c.column").agg(F.transform(F.sort_array(F.collect_list(F.struct("by", "c.cell"))), lambda x: x["cell"]).alias("cells"))
+
+
+def format_leaves(engine: Engine, form: Any) -> list[str]:
+    """The headers of an answer's columns: its identifier's, and of each part the last name that its format leads to."""
+
+    def leaf(part: Any) -> str:
+        if isinstance(part, str):
+            return part
+        return part[0] if is_matrix(engine, part[0]) else leaf(part[-1])
+
+    if not (isinstance(form, list) and len(form) == 2 and isinstance(form[0], str)):
+        raise QuestionError("only a list has columns")
+    label, inner = form
+    whole = isinstance(inner, str) or is_matrix(engine, inner[0])
+    return [label, *([leaf(inner)] if whole else [leaf(x) for x in inner])]
+
+
+def is_matrix(engine: Engine, label: Any) -> bool:
+    if not isinstance(label, str) or "#" not in label:
+        return False
+    model, attribute = label.split("::")[-1].split("#")
+    found = engine.catalog.model(model).find(attribute)
+    return found is not None and found.type == "matrix"
+
+
+def _leaf_list(c: Column, kind: T.DataType) -> tuple[Column, T.DataType, bool]:
+    """(value, its type, whether it is a list): of nested lists all values, flat and without nulls; of nested tables their last column."""
+    if isinstance(kind, T.StructType) and kind.names and kind.names[-1].startswith("_"):
+        last = kind.names[-1]
+        return _leaf_list(c[last], kind[last].dataType)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType) and kind.elementType.names == ["k", "v"]:
+        inner = kind.elementType["v"].dataType
+        _, leaf, many = _leaf_list(F.lit(None).cast(inner), inner)
+        found = F.transform(c, lambda x: _leaf_list(x["v"], inner)[0])
+        return F.filter(F.flatten(F.filter(found, lambda x: x.isNotNull())) if many else found, lambda x: x.isNotNull()), leaf, True
+    return c, kind, isinstance(kind, T.ArrayType)
+
+
+def list_text(c: Column, kind: T.DataType) -> Column:
+    """A list as JSON with a blank behind each comma; nothing for an empty one."""
+    item = (lambda x: F.when(x.isNull(), F.lit("nil")).otherwise(F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", ""))) if not isinstance(kind, (T.DoubleType, T.LongType, T.IntegerType)) else (lambda x: F.coalesce(number_text(x), F.lit("nil")))
+    return F.when(F.size(c) > 0, F.concat(F.lit("["), F.array_join(F.transform(c, item), ", "), F.lit("]")))
+
+
+def number_text(c: Column) -> Column:
+    """Whole numbers without a fraction."""
+    whole = c.cast("decimal(38,0)").cast("string")
+    return F.when((F.abs(c) < F.lit(1e15)) & (c.cast("double") == F.floor(c).cast("double")), whole).otherwise(c.cast("string"))
+
+
+def query_tsv(engine: Engine, question: Sequence, user_columns: Sequence[str] | None = None, expand_matrices: bool = False, transpose: bool = False, **more: Any) -> DataFrame:
+    """A question's answer as text columns under the headers of its format or ``user_columns``.
+
+    Headers that repeat get a number behind them, as columns need names of their own; ``user_columns`` must be distinct.
+    Nested values are one cell; matrices are one cell, or a column for each of theirs.
+    """
+    answer = engine.ask(question, **more)
+    headers = format_leaves(engine, answer.format)
+    names = list(user_columns) if user_columns else [f"{h}~{headers[:i].count(h)}" if h in headers[:i] else h for i, h in enumerate(headers)]
+    if len(names) != len(headers):
+        raise QuestionError(f"user_columns array must be {len(headers)} elements long")
+    form, df = answer.format[1], answer.df
+    kind = df.schema["answer"].dataType
+    table = not isinstance(form, str) and not is_matrix(engine, form[0]) and isinstance(kind, T.StructType)
+    parts = [(F.col("answer")[n], kind[n].dataType, f) for n, f in zip(kind.names, form, strict=True)] if table else [(F.col("answer"), kind, form)]
+    if not table and len(headers) != 2:  # a nested list under its record: its label, and what it leads to
+        parts = [(F.transform("answer", lambda x: x["k"]), T.ArrayType(kind.elementType["k"].dataType), "k"), (F.col("answer"), kind, form)]
+    out = [F.coalesce(F.col("identifier").cast("string"), F.lit("")).alias(names[0])]
+    for name, (c, t, f) in zip(names[1:], parts, strict=True):
+        value, leaf, many = _leaf_list(c, t)
+        if isinstance(f, list) and is_matrix(engine, f[0]) and expand_matrices:
+            out += [F.coalesce(number_text(F.get(value, i)), F.lit("")).alias(f"{name}.{n}") for i, n in enumerate(f[1])]
+        elif many:
+            out.append(F.coalesce(list_text(value, leaf.elementType if isinstance(leaf, T.ArrayType) else leaf), F.lit("")).alias(name))
+        elif isinstance(leaf, T.StructType):
+            out.append(F.coalesce(value["url"].cast("string") if "url" in leaf.names else F.to_json(value), F.lit("")).alias(name))
+        else:
+            out.append(F.coalesce(number_text(value) if isinstance(leaf, T.DoubleType) else value.cast("string"), F.lit("")).alias(name))
+    rows = df.select(*out)
+    return transposed(rows.select(F.col(f"`{names[0]}`").alias("__by"), *(F.col(f"`{n}`") for n in rows.columns))) if transpose else rows

@@ -10,7 +10,7 @@ import __spark_entry__
 from stemma.catalog import Attribute as A
 from stemma.catalog import Catalog, Model, User
 from stemma.errors import Forbidden, QuestionError
-from stemma.functions.columns import shift_days
+from stemma.functions.columns import shift_days, shifted
 from stemma.operators import upsert
 from stemma.plans.question import Engine
 from stemma.plans.retrieve import Request, Retrieval
@@ -103,15 +103,17 @@ def test_load(labors, spark):
     for bad in [("Lion", "LION", None), ("Lion", "lion", "Nobody")]:
         with pytest.raises(QuestionError):
             upsert.load(labors, {"monster": spark.createDataFrame([bad], rev.schema)}, dry_run=True)
-    lists = spark.createDataFrame([("Lion", ["Sue"])], "identifier string, children array<string>")
-    moved = upsert.relinked(labors, labors.catalog.model("monster"), labors.catalog.model("monster").get("victim"), lists)
+    lists = upsert.as_revisions(labors.catalog.model("monster"), spark.createDataFrame([("Lion", ["Sue"])], "name string, victim array<string>"))
+    moved = upsert.load(labors, {"monster": lists})["victim"]
     assert {r.name: r.monster_id for r in moved.collect()} == {"John": None, "Jane": None, "Sue": 1}
 
 
 def test_date_shift(spark):
-    want = int.from_bytes(hmac.new(b"salt", b"root", "sha256").digest(), "big") / 2**256 * 365
-    got = spark.range(1).select(shift_days(F.lit("root"), "salt").alias("d")).first()["d"]
-    assert abs(got - want) < 1e-6
+    for name in ("root", "The Nemean Lion", "é"):
+        want = int(int(hmac.new(b"salt", name.encode(), "sha256").hexdigest(), 16) / 2**256 * 365)
+        at = datetime.datetime(2020, 3, 1, 23, 59, 1)
+        got = spark.range(1).select(shift_days(F.lit(name), "salt").alias("d"), shifted(F.lit(at).cast("timestamp_ntz"), F.lit(name), "salt").alias("t")).first()
+        assert tuple(got) == (want, at - datetime.timedelta(days=want)) and 0 <= want < 365
 
 
 def test_catalog_changes(labors):
