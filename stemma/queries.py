@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemma.catalog import Attribute as A
@@ -12,7 +13,7 @@ from stemma.catalog import Catalog, Model, User
 from stemma.functions.columns import iso_time
 from stemma.operators import upsert
 from stemma.plans.question import Engine
-from stemma.plans.retrieve import Request, Retrieval, tsv_frame
+from stemma.plans.retrieve import Request, Retrieval, query_tsv, tsv_frame
 from stemma.sources.tsv import row_counts
 
 
@@ -22,14 +23,15 @@ def catalog() -> Catalog:
     models = [
         Model("region", (A("r_name", "identifier"), A("nation", "collection")), "r_regionkey", "r_name", root=True),
         Model("nation", (A("n_name", "identifier"), A("region", "parent", "n_regionkey"), A("customer", "collection"), A("supplier", "collection")), "n_nationkey", "n_name"),
-        Model("customer", (A("c_name", "identifier"), A("nation", "parent", "c_nationkey"), A("orders", "collection"), A("events", "table"), real("c_acctbal"), text("c_mktsegment"), A("restricted", "boolean")), "c_custkey", "c_name"),
+        Model("customer", (A("c_name", "identifier"), A("nation", "parent", "c_nationkey"), A("orders", "collection"), A("events", "table"), real("c_acctbal"), text("c_mktsegment"), A("restricted", "boolean"), A("referrer", "link", target="customer"), A("referred", "collection", target="customer", via="referrer")), "c_custkey", "c_name"),
         Model("supplier", (A("s_name", "identifier"), A("nation", "parent", "s_nationkey"), A("lineitem", "collection"), real("s_acctbal")), "s_suppkey", "s_name"),
-        Model("part", (number("p_partkey"), text("p_name"), text("p_brand"), text("p_type"), number("p_size"), real("p_retailprice"), A("lineitem", "collection")), "p_partkey", root=True),
+        Model("part", (number("p_partkey"), text("p_name"), text("p_brand"), text("p_type"), number("p_size"), real("p_retailprice"), A("p_flag", "boolean"), A("lineitem", "collection")), "p_partkey", root=True),
         Model("orders", (number("o_orderkey"), A("customer", "parent", "o_custkey"), A("lineitem", "table"), text("o_orderstatus"), real("o_totalprice"), A("o_orderdate", "date_time"), text("o_orderpriority")), "o_orderkey", "o_orderkey"),
         Model("lineitem", (A("orders", "parent", "l_orderkey"), A("part", "link", "l_partkey"), A("supplier", "link", "l_suppkey"), number("l_linenumber"), real("l_quantity"), real("l_extendedprice"), real("l_discount"), text("l_returnflag"), A("l_shipdate", "date_time")), "id"),
         Model("events", (number("event_id"), A("customer", "parent", "user_id"), A("ts", "shifted_date_time"), text("event_type"), real("value"), text("k")), "event_id"),
         Model("embeddings", (number("vec_id"), A("embedding", "matrix", options=dims), number("label")), "vec_id", root=True),
         Model("documents", (number("doc_id"), text("lang"), text("source"), number("n_chars"), A("labels", "child")), "doc_id", root=True),
+        Model("pages", (number("page_id"), text("url"), A("snapshot", "file"), A("copies", "file_collection"), A("kind", "match")), "page_id", root=True),
         Model("labels", (A("documents", "parent", "doc_id"), number("quality"), number("toxic")), "doc_id"),
     ]
     return Catalog("warehouse", {m.name: m for m in models})
@@ -41,7 +43,30 @@ def engine(spark: SparkSession, sf_dir: str, user: User | None = None) -> Engine
     tables["lineitem"] = tables["lineitem"].withColumn("id", F.xxhash64(*tables["lineitem"].columns))
     tables["events"] = tables["events"].withColumn("k", F.get_json_object("props", "$.k"))
     tables["customer"] = tables["customer"].withColumn("restricted", F.when(F.col("c_acctbal") < 0, F.lit(True)).when(F.col("c_acctbal") < 5000, F.lit(False)))
-    return Engine(spark, cat, tables, user or User(can_edit=True, can_see_restricted=True))
+    tables["customer"] = tables["customer"].withColumn("referrer_id", F.when(F.col("c_custkey") >= 7, F.floor(F.col("c_custkey") / 7)))
+    tables["part"] = tables["part"].withColumn("p_flag", F.when(F.col("p_size") % 3 == 0, F.lit(True)).when(F.col("p_size") % 3 == 1, F.lit(False)))
+    page, last = F.col("page_id").cast("string"), F.element_at(F.split("url", "/"), -1)
+
+    def file(name: Column) -> Column:
+        return F.struct(F.concat(F.lit("store://"), F.col("url")).alias("location"), name.alias("filename"), last.alias("original_filename"))
+
+    snapshot = F.when(F.col("page_id") % 5 > 0, file(F.concat(F.lit("pages-"), page, F.lit("-snapshot.html"))))
+    copies = F.array(*(file(F.concat(F.lit("pages-"), page, F.lit(f"-copies-{i}.html"))) for i in range(2)))
+    tables["pages"] = tables["pages"].select("page_id", "url", snapshot.alias("snapshot"), copies.alias("copies"), F.struct(F.lit("String").alias("type"), last.alias("value")).alias("kind"))
+    names = tables["pages"].select(F.explode(F.flatten(F.array(F.array("snapshot"), F.col("copies")))["filename"]).alias("filename")).where("filename is not null")
+    stamps = names.select("filename", F.md5("filename").alias("file_hash"), F.concat(F.lit("2024-01-"), F.lpad((F.length("filename") % 28 + 1).cast("string"), 2, "0")).alias("updated_at"))
+    # an older entry of each file, which doesn't count
+    metadata = stamps.unionByName(stamps.select("filename", F.lit("old").alias("file_hash"), F.lit("2023-01-01").alias("updated_at")))
+    metrics = {"orders": {"expensive": lambda df: F.col("o_totalprice") > 300000, "status": lambda df: F.lower("o_orderstatus")}}
+    return Engine(spark, cat, tables, user or User(can_edit=True, can_see_restricted=True), metrics, metadata, lambda name: F.concat(F.lit("https://files.example/"), name))
+
+
+def holey(spark: SparkSession, sf_dir: str) -> Engine:
+    """Without some links: orders that have no customer, customers of a nation that has no region."""
+    e = engine(spark, sf_dir)
+    orders = e.tables["orders"].withColumn("o_custkey", F.when(F.col("o_orderkey") % 11 > 0, F.col("o_custkey")))
+    nations = e.tables["nation"].withColumn("n_regionkey", F.when(F.col("n_nationkey") != 3, F.col("n_regionkey")))
+    return replace(e, tables=e.tables | {"orders": orders, "nation": nations})
 
 
 #: name: (question, further arguments, SQL). Of lists the columns are identifier and answer, otherwise answer.
@@ -99,10 +124,131 @@ question("where_filter", ["customer", "::all", "orders", ["o_totalprice", "::>",
 question("child_path", ["documents", ["labels", "quality", "::=", 1], "::all", "labels", "toxic"], "SELECT documents.doc_id AS identifier, toxic AS answer FROM documents JOIN labels ON labels.doc_id = documents.doc_id WHERE quality = 1")
 
 
+question("boolean_true", ["part", ["p_flag", "::true"], "::count"], "SELECT count(*) AS answer FROM part WHERE p_size % 3 = 0")
+question("number_fraction", ["part", ["p_size", "::>=", "24.5"], "::count"], "SELECT count(*) AS answer FROM part WHERE p_size >= 24.5")
+question("string_matches_some", ["part", ["p_type", "::matches", "^[E-M].*O"], "::all", "p_type"], "SELECT p_partkey AS identifier, p_type AS answer FROM part WHERE regexp_matches(p_type, '^[E-M].*O')")
+question("bool_any_true", ["orders", ["o_totalprice", "::>", 400000], "::any"], "SELECT count(*) > 0 AS answer FROM orders WHERE o_totalprice > 400000")
+question("has_scalar", ["pages", ["::has", "url"], "::count"], "SELECT count(url) AS answer FROM pages")
+question("lacks_link", ["customer", ["::lacks", "referrer"], "::all", "c_mktsegment"], "SELECT c_name AS identifier, c_mktsegment AS answer FROM customer WHERE c_custkey < 7")
+question("self_link", ["customer", "::all", "referrer", "referrer", "c_name"], "SELECT c.c_name AS identifier, b.c_name AS answer FROM customer c LEFT JOIN customer a ON a.c_custkey = c.c_custkey // 7 AND c.c_custkey >= 7 LEFT JOIN customer b ON b.c_custkey = a.c_custkey // 7 AND a.c_custkey >= 7")
+question("self_collection", ["customer", "::all", "referred", "::count"], "SELECT c.c_name AS identifier, count(b.c_custkey) AS answer FROM customer c LEFT JOIN customer b ON b.c_custkey // 7 = c.c_custkey AND b.c_custkey >= 7 GROUP BY 1")
+question("self_quantifier", ["customer", ["referred", ["c_acctbal", "::>", 0], "::every"], *_LIST], "SELECT c.c_name AS identifier, c.c_name AS answer FROM customer c JOIN customer b ON b.c_custkey // 7 = c.c_custkey AND b.c_custkey >= 7 GROUP BY 1 HAVING bool_and(b.c_acctbal > 0)")
+question("quantifiers_within", ["customer", ["orders", ["::or", ["lineitem", ["l_discount", "::>", 0.07], "::every"], ["::and", ["o_orderstatus", "::equals", "P"], ["lineitem", ["l_quantity", "::<", 3], "::any"]]], "::any"], *_LIST], """
+  SELECT c_name AS identifier, c_name AS answer FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND (
+    o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_and(l_discount > 0.07)) OR o_orderstatus = 'P' AND EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity < 3)))""")
+question("lacks_in_or", ["orders", ["::or", ["::lacks", "lineitem"], ["o_orderstatus", "::equals", "P"]], "::count"], "SELECT count(*) AS answer FROM orders WHERE o_orderstatus = 'P' OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+question("up_in_or", ["lineitem", ["::or", ["orders", "customer", ["c_mktsegment", "::equals", "BUILDING"], "::any"], ["l_quantity", "::>", 45]], "::count"], "SELECT count(*) AS answer FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' OR l_quantity > 45")
+question("unknown_order", ["customer", "::all", "c_acctbal"], "SELECT c_name AS identifier, c_acctbal AS answer FROM customer ORDER BY c_name LIMIT 50 OFFSET 50", order="no_such_attribute", page=2, page_size=50)
+question("file_equals", ["pages", ["snapshot", "::equals", "pages-7-snapshot.html"], "::all", "url"], "SELECT page_id AS identifier, url AS answer FROM pages WHERE page_id = 7")
+question("file_lacks", ["pages", ["::lacks", "snapshot"], "::count"], "SELECT count(*) AS answer FROM pages WHERE page_id % 5 = 0")
+_SNAPSHOT = "CASE WHEN page_id % 5 > 0 THEN 'pages-' || page_id || '-snapshot.html' END"
+question("file_path", ["pages", "::all", "snapshot", "::path"], f"SELECT page_id AS identifier, {_SNAPSHOT} AS answer FROM pages")
+question("file_url", ["pages", "::all", "snapshot", "::url"], f"SELECT page_id AS identifier, 'https://files.example/' || {_SNAPSHOT} AS answer FROM pages")
+question("file_original", ["pages", "::all", "snapshot", "::original_filename"], "SELECT page_id AS identifier, CASE WHEN page_id % 5 > 0 THEN string_split(url, '/')[-1] END AS answer FROM pages")
+question("file_md5", ["pages", "::all", "snapshot", "::md5"], f"SELECT page_id AS identifier, md5({_SNAPSHOT}) AS answer FROM pages")
+question("file_updated_at", ["pages", "::all", "snapshot", "::updated_at"], f"SELECT page_id AS identifier, '2024-01-' || lpad((length({_SNAPSHOT}) % 28 + 1)::VARCHAR, 2, '0') AS answer FROM pages")
+question("file_collection_path", ["pages", "::all", "copies", "::path"], "SELECT page_id AS identifier, ['pages-' || page_id || '-copies-0.html', 'pages-' || page_id || '-copies-1.html'] AS answer FROM pages")
+question("file_collection_md5", ["pages", "::all", "copies", "::md5"], "SELECT page_id AS identifier, [md5('pages-' || page_id || '-copies-0.html'), md5('pages-' || page_id || '-copies-1.html')] AS answer FROM pages")
+question("match_type", ["pages", "::all", "kind", "::type"], "SELECT page_id AS identifier, 'String' AS answer FROM pages")
+question("match_value", ["pages", "::all", "kind", "::value"], "SELECT page_id AS identifier, string_split(url, '/')[-1] AS answer FROM pages")
+question("matrix_bare", ["embeddings", ["label", "::=", 1], "::all", "embedding"], "SELECT vec_id AS identifier, embedding AS answer FROM embeddings WHERE label = 1")
+question("attribute_names", ["region", "::attribute_names"], "SELECT unnest(['r_name', 'nation']) AS k")
+
+
 def _asked(q: list, more: dict) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: engine(spark, sf_dir).ask(q, **more).df
 
 
+def connected_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a parent at every level, where some lack one."""
+    return holey(spark, sf_dir).ask(["orders", "::all", "o_orderstatus"]).df
+
+
+def disconnected_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return holey(spark, sf_dir).ask(["orders", "::all", "customer", "c_name"], show_disconnected=True).df
+
+
+def quantified_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter that gives null doesn't hold: customers all of whose referred customers have a nation in a region."""
+    return holey(spark, sf_dir).ask(["customer", ["referred", ["nation", "region", "r_name", "::not", "ASIA"], "::every"], "::all", "::identifier"], show_disconnected=False).df
+
+
+def page_by_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page that ``order_page`` cuts off, by the bounds of all pages."""
+    e = engine(spark, sf_dir)
+    orders = e.catalog.model("orders")
+    bounds = e._bounds(e.rows(orders, [], True), e._sort(orders, "o_orderdate"), 100)
+    return e.ask(["orders", "::all", "o_orderstatus"], "o_orderdate", 3, 100, bounds=bounds).df
+
+
+def metrics_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).ask(["orders", "::all", "::metrics"]).df.select("identifier", "answer.*")
+
+
+def shared_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three columns by one link: joined once."""
+    return engine(spark, sf_dir).ask(["orders", "::all", [["customer", "c_name"], ["customer", "nation", "n_name"], ["customer", "referrer", "c_name"], "o_orderstatus"]]).flat(["c_name", "n_name", "referrer", "o_orderstatus"])
+
+
+def query_tsv_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of nested lists in one cell, empty lists as blank cells."""
+    q = ["region", "::all", [["nation", "::count"], ["nation", "::all", "supplier", ["s_acctbal", "::>", 9800], "::all", "s_name"]]]
+    return query_tsv(engine(spark, sf_dir), q, user_columns=["region", "n_nations", "rich_suppliers"])
+
+
+def query_tsv_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = ["embeddings", "::all", ["label", ["embedding", "::slice", ["d0", "d5"]], ["embedding", "::slice", ["d63"]]]]
+    return query_tsv(engine(spark, sf_dir), q, user_columns=["id", "label", "first", "second"], expand_matrices=True).withColumns({c: F.col(f"`{c}`").cast("float") for c in ("first.d0", "first.d5", "second.d63")}).withColumnsRenamed({"first.d0": "d0", "first.d5": "d5", "second.d63": "d63"})
+
+
+def query_tsv_transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = query_tsv(engine(spark, sf_dir), ["nation", "::all", [["region", "r_name"], ["supplier", "::count"]]], user_columns=["nation", "region", "n"], transpose=True)
+    return df.select("column", F.array_join("cells", ",").alias("cells"))
+
+
+def retrieve_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Request("customer", attribute_names=["c_mktsegment", "referrer"], filter='["c_mktsegment[]BUILDING,MACHINERY", "c_name~^Customer#0+1", "referrer=Customer#000000020"]')
+    return Retrieval(engine(spark, sf_dir), r).documents().drop("identifier")
+
+
+def retrieve_lacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Request("customer", attribute_names=["restricted", "referrer"], filter="referrer^@")
+    return Retrieval(engine(spark, sf_dir), r).documents().drop("identifier")
+
+
+def retrieve_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Request("customer", record_names=["Customer#000000003", "Customer#000000033", "nobody"], attribute_names=["c_acctbal", "restricted"], order="c_acctbal")
+    return Retrieval(engine(spark, sf_dir), r).documents().drop("identifier")
+
+
+def upsert_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order revises its customer: the last one counts, attribute by attribute; a null of it, too."""
+    e = engine(spark, sf_dir)
+    rev = e.tables["orders"].join(e.tables["customer"], F.col("o_custkey") == F.col("c_custkey")).select("c_name", F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("c_mktsegment"), F.col("o_orderkey").alias("at"))
+    return upsert.load(e, {"customer": rev}, order="at")["customer"].select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+
+
+def upsert_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ASIA lists its own nations but INDIA, FRANCE and a new one; ALGERIA revises itself to go to ASIA, too."""
+    e = engine(spark, sf_dir)
+    nations = e.tables["nation"].join(e.tables["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    listed = nations.where("r_name = 'ASIA' and n_nationkey % 3 > 0 or n_nationkey = 1").groupBy().agg(F.collect_list("n_name").alias("n"))  # of 25 rows
+    lists = listed.select(F.lit("ASIA").alias("r_name"), F.concat("n", F.array(F.lit("ATLANTIS"))).alias("nation"))
+    own = nations.where("n_nationkey = 0").select("n_name", F.lit("ASIA").alias("region"))
+    return upsert.load(e, {"region": upsert.as_revisions(e.catalog.model("region"), lists), "nation": own})["nation"].select("n_name", "n_regionkey")
+
+
+def replaced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose key 50 divides list two new events: their old ones go, those of others stay."""
+    e = engine(spark, sf_dir)
+    chosen = e.tables["customer"].where("c_custkey % 50 = 0")
+    ids = F.array(*(F.concat(F.lit(f"::temp{i}-"), F.col("c_name")) for i in range(2)))
+    lists = chosen.select("c_name", ids.alias("events"))
+    new = chosen.select(F.explode(ids).alias("__record"), F.lit("new").alias("event_type"), F.col("c_acctbal").alias("value"))
+    out = upsert.load(e, {"customer": lists, "events": upsert.as_revisions(e.catalog.model("events"), new)})["events"]
+    return out.select(F.when(F.col("event_type") != "new", F.col("event_id")).alias("event_id"), "user_id", "event_type", "value")
+
+
 def nested_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nested list, a row for each of its entries."""
     df = engine(spark, sf_dir).ask(["nation", "::all", "supplier", "::all", "s_acctbal"]).df
@@ -136,8 +282,10 @@ def retrieve_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieve_matrix_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Request("embeddings", attribute_names=["vec_id", "label", "embedding"], output_predicate="embedding[]d1,d63")
-    return tsv_frame(Retrieval(engine(spark, sf_dir), r).documents().select("vec_id", "label"), renames=["id", "label"])
+    """A matrix sliced, and expanded into a column for each of its own."""
+    r = Request("embeddings", attribute_names=["vec_id", "label", "embedding"], output_predicate="embedding[]d1,d63", expand_matrices=True, format="tsv")
+    df = Retrieval(engine(spark, sf_dir), r).tsv()
+    return df.select("vec_id", "label", *(F.col(f"`embedding.{n}`").cast("float").alias(n) for n in ("d1", "d63")))
 
 
 def dictionary_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +307,7 @@ def upsert_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Times of events moved back by their customer's days: no SQL, the shift is an HMAC."""
+    """Times of events moved back by their customer's days."""
     e = engine(spark, sf_dir)
     moved = Engine(spark, e.catalog.set_date_shift_root("customer"), e.tables, e.user)
     model = moved.catalog.model("events")
@@ -170,6 +318,8 @@ def model_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_counts(engine(spark, sf_dir))
 
 
+#: The key "salt" of the date shift's HMAC, padded for its inner and outer hash.
+_PADS = tuple(bytes(b ^ x for b in b"salt".ljust(64, b"\0")) for x in (0x36, 0x5C))
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "nested_all": (nested_all, "SELECT n_name AS identifier, s_name AS supplier, s_acctbal FROM nation JOIN supplier ON s_nationkey = n_nationkey"),
     "table_projection": (table_projection, """
@@ -181,13 +331,43 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "retrieve_filtered": (retrieve_filtered, "SELECT o_orderkey, o_orderstatus, o_totalprice, c_name AS customer FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice >= 300000 AND o_orderstatus = 'F'"),
     "retrieve_collections": (retrieve_collections, "SELECT r_name AS region, string_agg(n_name, ', ' ORDER BY n_name) AS nations FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1"),
     "retrieve_table": (retrieve_table, "SELECT event_id, event_type, value, c_name AS customer FROM events JOIN customer ON user_id = c_custkey WHERE c_mktsegment = 'BUILDING'"),
-    "retrieve_matrix_tsv": (retrieve_matrix_tsv, "SELECT vec_id::VARCHAR AS id, label::VARCHAR AS label FROM embeddings"),
+    "retrieve_matrix_tsv": (retrieve_matrix_tsv, "SELECT vec_id::VARCHAR AS vec_id, label::VARCHAR AS label, embedding[2] AS d1, embedding[64] AS d63 FROM embeddings"),
     "dictionary_misses": (dictionary_misses, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE NOT (o_orderstatus IN ('O', 'F') AND o_totalprice BETWEEN 0 AND 200000) AND o_orderstatus <> 'P'"),
     "upsert_customers": (upsert_customers, """
       WITH r AS (SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'Customer#' ELSE 'New#' END || lpad(s_suppkey::VARCHAR, 9, '0') AS name, s_acctbal, s_nationkey FROM supplier)
       SELECT coalesce(c_name, name) AS c_name, coalesce(s_acctbal, c_acctbal) AS c_acctbal, coalesce(s_nationkey, c_nationkey) AS c_nationkey, c_mktsegment FROM customer FULL JOIN r ON c_name = name"""),
-    "date_shift": (date_shift, None),
-    "model_counts": (model_counts, " UNION ALL ".join(f"SELECT '{n}' AS model, count(*) AS n_rows FROM {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "documents", "labels"))),
+    "date_shift": (date_shift, f"""
+      WITH h AS (SELECT c_custkey, sha256(unhex('{_PADS[1].hex()}') || unhex(sha256(unhex('{_PADS[0].hex()}') || encode(c_name)))) AS h FROM customer)
+      SELECT event_id, strftime(ts - to_days(floor(('0x' || h[1:13])::UBIGINT::DOUBLE / 4503599627370496 * 365)::INTEGER), '%Y-%m-%dT%H:%M:%S+00:00') AS ts FROM events LEFT JOIN h ON user_id = c_custkey"""),
+    "connected_orders": (connected_orders, "SELECT o_orderkey AS identifier, o_orderstatus AS answer FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 11 > 0 AND c_nationkey <> 3"),
+    "disconnected_orders": (disconnected_orders, "SELECT o_orderkey AS identifier, CASE WHEN o_orderkey % 11 > 0 THEN c_name END AS answer FROM orders JOIN customer ON o_custkey = c_custkey WHERE NOT (o_orderkey % 11 > 0 AND c_nationkey <> 3)"),
+    "quantified_nulls": (quantified_nulls, """
+      SELECT c.c_name AS identifier, c.c_name AS answer FROM customer c JOIN customer b ON b.c_custkey // 7 = c.c_custkey AND b.c_custkey >= 7 JOIN nation ON b.c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+      WHERE c.c_nationkey <> 3 GROUP BY 1 HAVING bool_and(n_nationkey <> 3 AND r_name <> 'ASIA')"""),
+    "page_by_bounds": (page_by_bounds, QUESTIONS["order_page"][2]),
+    "metrics_of_orders": (metrics_of_orders, "SELECT o_orderkey AS identifier, o_totalprice > 300000 AS expensive, lower(o_orderstatus) AS status FROM orders"),
+    "shared_links": (shared_links, """
+      SELECT o_orderkey AS identifier, c.c_name, n_name, r.c_name AS referrer, o_orderstatus FROM orders LEFT JOIN customer c ON o_custkey = c.c_custkey LEFT JOIN nation ON c.c_nationkey = n_nationkey LEFT JOIN customer r ON r.c_custkey = c.c_custkey // 7 AND c.c_custkey >= 7"""),
+    "query_tsv_nested": (query_tsv_nested, """
+      SELECT r_name AS region, count(DISTINCT n_nationkey)::VARCHAR AS n_nations, coalesce('[' || string_agg('"' || s_name || '"', ', ' ORDER BY n_name, s_name) || ']', '') AS rich_suppliers
+      FROM region LEFT JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 9800 GROUP BY 1"""),
+    "query_tsv_matrix": (query_tsv_matrix, "SELECT vec_id::VARCHAR AS id, label::VARCHAR AS label, embedding[1] AS d0, embedding[6] AS d5, embedding[64] AS d63 FROM embeddings"),
+    "query_tsv_transposed": (query_tsv_transposed, """
+      WITH n AS (SELECT n_name, r_name, count(s_suppkey)::VARCHAR AS n FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2)
+      SELECT 'nation' AS "column", string_agg(n_name, ',' ORDER BY n_name) AS cells FROM n UNION ALL SELECT 'region', string_agg(r_name, ',' ORDER BY n_name) FROM n UNION ALL SELECT 'n', string_agg(n, ',' ORDER BY n_name) FROM n"""),
+    "retrieve_terms": (retrieve_terms, "SELECT c.c_name, c.c_mktsegment, r.c_name AS referrer FROM customer c JOIN customer r ON r.c_custkey = c.c_custkey // 7 AND c.c_custkey >= 7 WHERE c.c_mktsegment IN ('BUILDING', 'MACHINERY') AND regexp_matches(c.c_name, '^Customer#0+1') AND r.c_name = 'Customer#000000020'"),
+    "retrieve_lacking": (retrieve_lacking, "SELECT c_name, CASE WHEN c_acctbal < 0 THEN true WHEN c_acctbal < 5000 THEN false END AS restricted, NULL::VARCHAR AS referrer FROM customer WHERE c_custkey < 7"),
+    "retrieve_names": (retrieve_names, "SELECT c_name, c_acctbal, CASE WHEN c_acctbal < 0 THEN true WHEN c_acctbal < 5000 THEN false END AS restricted FROM customer WHERE c_custkey IN (3, 33)"),
+    "upsert_repeated": (upsert_repeated, """
+      SELECT c_custkey, c_name, CASE WHEN n IS NULL THEN c_mktsegment WHEN s <> 'P' THEN p END AS c_mktsegment, c_acctbal
+      FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, arg_max(o_orderstatus, o_orderkey) AS s, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1) ON o_custkey = c_custkey"""),
+    "upsert_lists": (upsert_lists, """
+      WITH a AS (SELECT r_regionkey AS k FROM region WHERE r_name = 'ASIA')
+      SELECT n_name, CASE WHEN n_nationkey IN (0, 1) THEN k WHEN n_regionkey = k AND n_nationkey % 3 = 0 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation, a UNION ALL SELECT 'ATLANTIS', k FROM a"""),
+    "replaced_events": (replaced_events, """
+      SELECT event_id, user_id, event_type, value FROM events WHERE user_id % 50 <> 0
+      UNION ALL SELECT NULL, c_custkey, 'new', c_acctbal FROM customer, range(2) WHERE c_custkey % 50 = 0"""),
+    "model_counts": (model_counts, " UNION ALL ".join(f"SELECT '{n}' AS model, count(*) AS n_rows FROM {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "documents", "pages", "labels"))),
 }
 
 
