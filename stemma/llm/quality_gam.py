@@ -143,7 +143,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     share = float(y.mean()) if len(y) else 0.5
     bias = float(np.log(np.clip(share, 1e-6, 1 - 1e-6) / np.clip(1 - share, 1e-6, 1)))
     m = Model(bias, [], [], [], [])
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return m
     d = x.shape[1]
     m.cuts, m.pair_cuts = [_cuts(x[:, j], BINS) for j in range(d)], [_cuts(x[:, j], PAIR_BINS) for j in range(d)]

@@ -40,7 +40,7 @@ from stemma.llm.suffix_array import common_prefix_reaches, suffix_array
 
 LENGTH, GRAM = 50, 20
 #: Bytes of text of a group, about; so many groups share a block of minimizers.
-GROUP_BYTES, GROUPS_A_BLOCK = 4 << 20, 8
+GROUP_BYTES, GROUPS_A_BLOCK = 2 << 20, 8
 #: Bytes of a suffix array, and how often what one minimizer has beyond that is cut anew.
 ARRAY_BYTES, SALTS = 1 << 20, 4
 #: Bytes of a string that goes into an array, at most; of longer ones slices do that overlap by a window less a byte.
