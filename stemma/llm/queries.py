@@ -73,7 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op8_decontaminate": OP8_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_minhash_dedup": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op8_decontaminate": OP8_SQL}
 
 
 OP1_SQL = r"""
@@ -108,6 +108,57 @@ FROM b
 """
 
 
+#: All pairs of sets with a shingle in common; from each document without a smaller neighbour, all that is reachable.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), edges AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id AS least, doc_id FROM documents WHERE doc_id NOT IN (SELECT b FROM links)
+  UNION SELECT least, b FROM reached JOIN edges ON a = reached.doc_id
+), found AS (
+  SELECT doc_id, min(least) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+#: Every window of 50 bytes as hexadecimal digits, cut out of stretches of 1,000 bytes.
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n, hex(encode(coalesce(text, ''))) AS h FROM documents
+), c AS (
+  SELECT doc_id, n, k, substr(h, 2000 * k + 1, 2098) AS h FROM (SELECT *, unnest(range(0, (n + 999) // 1000)) AS k FROM d)
+), p AS (
+  SELECT doc_id, 1000 * k + j AS i, substr(h, 2 * j + 1, 2) AS byte, CASE WHEN 1000 * k + j + 50 <= n THEN md5_number(substr(h, 2 * j + 1, 100)) END AS w
+  FROM (SELECT *, unnest(range(0, least(1000, n - 1000 * k))) AS j FROM c)
+), f AS (
+  SELECT w, min(doc_id) AS least FROM p WHERE w IS NOT NULL GROUP BY w
+), m AS (
+  SELECT doc_id, i, byte, coalesce(least < doc_id, false) AS hit FROM p LEFT JOIN f USING (w)
+), g AS (
+  SELECT doc_id, i, byte, bool_or(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM m
+), t AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS first FROM g
+), r AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (first) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM t GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
+
+
 #: Without the check of slots, which in these tables no two windows need.
 OP8_SQL = r"""
 WITH src AS (

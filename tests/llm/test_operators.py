@@ -5,7 +5,9 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
@@ -244,3 +246,15 @@ def test_items_may_have_names_as_ids(spark):
     bench = spark.createDataFrame([("b", item), ("a", item), (None, item)], "item_id string, text string")
     rows = {r.doc_id: (r.n_items, r.item_id, r.contaminated) for r in decontaminate.verdicts(df, bench).collect()}
     assert rows == {BIG: (2, "a", True), 2: (0, None, False), None: (0, None, False)}
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_their_sql(spark, name):
+    tables = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        tables.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    wanted = tables.execute(queries.oracle_sql()[name]).fetchdf()
+    found = queries.queries()[name](spark, SF)
+    assert sorted(found.columns) == sorted(wanted.columns)
+    rows = [[[None if pd.isna(v) else v for v in r] for r in df[sorted(df.columns)].sort_values("doc_id").values.tolist()] for df in (found.toPandas(), wanted)]
+    assert rows[0] == rows[1]
