@@ -185,9 +185,13 @@ def with_component(df: DataFrame, found: DataFrame, on: str) -> DataFrame:
 
 
 def common_values(prefix: DataFrame) -> DataFrame:
-    """(e, major) of the values in ``prefix`` (e, component) that several components have, and the component with the most rows."""
+    """(e, major) of the values in ``prefix`` (e, component) that several components have, and the component with the most rows.
+
+    Stored, so that the join with ``prefix`` sees its size: it is broadcast where that is small, and split where a value is hot.
+    """
     sizes = prefix.groupBy("e", "component").agg(F.count("*").alias("c"))
-    return sizes.groupBy("e").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("e", F.col("m.component").alias("major"))
+    found = sizes.groupBy("e").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    return stored(found.select("e", F.col("m.component").alias("major")), "common")
 
 
 def near_by_lanes(left: DataFrame, found: DataFrame) -> DataFrame:
@@ -230,7 +234,7 @@ def prefix_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
     prefix = placed.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("es", F.lit(1), length)).alias("pos", "x"))
     prefix = prefix.select("id", "n", "x.e", (F.col("n") - F.col("alone") - F.col("pos")).alias("rest"))
     prefix = stored(with_component(prefix, found, "id"), "prefix")
-    marked = prefix.join(common_values(prefix), "e")
+    marked = stored(prefix.join(common_values(prefix), "e"), "marked")  # both sides of the next join are plain shuffles, which are split where a value is hot
     one = marked.where("component <> major").select("e", F.col("id").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("component").alias("ca"))
     two = marked.select("e", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("component").alias("cb"), "major")
     near = ((100 + SIMILARITY) * F.least("ra", "rb") >= SIMILARITY * (F.col("na") + F.col("nb"))) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("major")) | (F.col("a") < F.col("b")))
