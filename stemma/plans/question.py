@@ -112,16 +112,22 @@ def not_before(sort: Sequence[Column], first: Sequence) -> Column:
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written below ``spark.checkpoint.dir``; where that is unset a local master gets a local folder, and on a cluster it is an error."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """Below ``spark.checkpoint.dir``; where that is unset a local master gets a local folder, and on a cluster it is an error."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        top = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        top = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
         if not top:
             if not context.master.startswith("local"):
                 raise QuestionError("set spark.checkpoint.dir to a folder that driver and executors share")
             top = "file://" + tempfile.gettempdir() + "/stemma-checkpoints"
         context.setCheckpointDir(top)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

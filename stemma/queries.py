@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from stemma.catalog import Attribute as A
 from stemma.catalog import Catalog, Model, User
 from stemma.functions.columns import iso_time
-from stemma.operators import upsert
-from stemma.plans.question import Engine
+from stemma.operators import evolve, upsert
+from stemma.plans.question import Engine, shared_folder
 from stemma.plans.retrieve import Request, Retrieval, query_tsv, tsv_frame
-from stemma.sources.tsv import row_counts
+from stemma.sources.json_files import read_revisions
+from stemma.sources.tsv import read_tsv, row_counts, unload
 
 
 def catalog() -> Catalog:
@@ -153,6 +155,7 @@ question("match_type", ["pages", "::all", "kind", "::type"], "SELECT page_id AS
 question("match_value", ["pages", "::all", "kind", "::value"], "SELECT page_id AS identifier, string_split(url, '/')[-1] AS answer FROM pages")
 question("matrix_bare", ["embeddings", ["label", "::=", 1], "::all", "embedding"], "SELECT vec_id AS identifier, embedding AS answer FROM embeddings WHERE label = 1")
 question("attribute_names", ["region", "::attribute_names"], "SELECT unnest(['r_name', 'nation']) AS k")
+question("model_names", ["::model_names"], "SELECT unnest(['customer', 'documents', 'embeddings', 'events', 'labels', 'lineitem', 'nation', 'orders', 'pages', 'part', 'region', 'supplier']) AS k")
 
 
 def _asked(q: list, more: dict) -> Callable[[SparkSession, str], DataFrame]:
@@ -229,7 +232,7 @@ def upsert_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def upsert_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASIA lists its own nations but INDIA, FRANCE and a new one; ALGERIA revises itself to go to ASIA, too."""
+    """ASIA lists its own nations but those whose key 3 divides, NATION_1 and a new one; NATION_0 revises itself to go to ASIA, too."""
     e = engine(spark, sf_dir)
     nations = e.tables["nation"].join(e.tables["region"], F.col("n_regionkey") == F.col("r_regionkey"))
     listed = nations.where("r_name = 'ASIA' and n_nationkey % 3 > 0 or n_nationkey = 1").groupBy().agg(F.collect_list("n_name").alias("n"))  # of 25 rows
@@ -249,6 +252,72 @@ def replaced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.when(F.col("event_type") != "new", F.col("event_id")).alias("event_id"), "user_id", "event_type", "value")
 
 
+def upsert_from_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``upsert_repeated``, by way of files of JSON lines."""
+    e, path = engine(spark, sf_dir), f"{shared_folder(spark)}/revisions-{uuid.uuid4().hex}"
+    rev = e.tables["orders"].join(e.tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
+    body = F.to_json(F.struct(F.col("o_orderpriority").alias("c_mktsegment")))
+    rev.select(F.lit("customer").alias("model"), F.col("c_name").alias("record"), F.col("o_orderkey").alias("seq"), body.alias("revision")).write.json(path)
+    return upsert.load(e, read_revisions(spark, e.catalog, path, ["customer"]))["customer"].select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+
+
+def unloaded_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nations as TSV files, read again as revisions."""
+    e, path = engine(spark, sf_dir), f"{shared_folder(spark)}/nation-{uuid.uuid4().hex}"
+    unload(e, "nation", path)
+    return read_tsv(spark, path, e.catalog.model("nation"))
+
+
+def file_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots blanked, left for later (so they stay), replaced, and taken away."""
+    e = engine(spark, sf_dir)
+    kind = F.col("page_id") % 4
+    path = F.when(kind == 0, F.lit("::blank")).when(kind == 1, F.lit("::temp")).when(kind == 2, F.concat(F.lit("s3://new/"), F.col("page_id").cast("string"), F.lit(".png")))
+    rev = e.tables["pages"].select("page_id", F.struct(path.alias("path"), F.lit("photo.jpg").alias("original_filename")).alias("snapshot"))
+    return upsert.load(e, {"pages": rev})["pages"].select("page_id", "snapshot.*")
+
+
+def upsert_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a revised and a new region: when it was made, and revised."""
+    e = engine(spark, sf_dir)
+    made, now = (F.lit(t).cast("timestamp_ntz") for t in ("2020-01-01 00:00:00", "2024-05-05 00:00:00"))
+    old = replace(e, tables=e.tables | {"region": e.tables["region"].withColumns({"created_at": made, "updated_at": made})})
+    rev = e.tables["region"].where("r_name = 'ASIA'").select(F.explode(F.array("r_name", F.lit("ATLANTIS"))).alias("r_name"))
+    update = upsert.Update(old, {"region": upsert.as_revisions(e.catalog.model("region"), rev)}, now)
+    return update.tables["region"].select("r_name", *(iso_time(F.col(c)).alias(c) for c in ("created_at", "updated_at")))
+
+
+def complaints_of_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with revisions of every second customer: unknown attribute and nation, values that break validations."""
+    e = engine(spark, sf_dir)
+    cat = e.catalog.apply([("update_attribute", "customer", "c_acctbal", {"validation": ("Range", -500, 9000)}), ("update_attribute", "customer", "c_mktsegment", {"validation": ("Array", ("BUILDING", "MACHINERY"))})])
+    nation = F.when(F.col("c_custkey") % 10 == 0, F.lit("ATLANTIS")).otherwise(F.lit("NATION_6"))
+    rev = e.tables["customer"].where("c_custkey % 2 = 0").select("c_name", "c_acctbal", "c_mktsegment", nation.alias("nation"), F.lit("x").alias("nickname"))
+    return upsert.Update(replace(e, catalog=cat), {"customer": upsert.as_revisions(cat.model("customer"), rev)}).complaints
+
+
+def changed(cat: Catalog) -> Catalog:
+    """A renamed and a new attribute, a link and a model, as one batch."""
+    return cat.apply([("rename_attribute", "customer", "c_acctbal", "balance"), ("add_attribute", "customer", A("nickname", "string")), ("add_link", "supplier", "agent", "customer", "clients"), ("add_model", "codex", "name", "region")])
+
+
+def migration_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(evolve.steps(catalog(), changed(catalog())), "step string, model string, column string, type string")
+
+
+def evolved_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Asked by the new names, of tables brought to the changed catalog."""
+    e = engine(spark, sf_dir)
+    cat = changed(e.catalog)
+    tables = e.tables | {n: evolve.conformed(e.tables[n], cat.model(n)) for n in ("customer", "supplier")}
+    return replace(e, catalog=cat, tables=tables).ask(["customer", ["balance", "::>", 9000], "::all", ["balance", "nickname", ["clients", "::count"]]]).flat(["balance", "nickname", "n_clients"])
+
+
+def retrieve_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = Request("customer", attribute_names=["c_mktsegment"], order="c_acctbal", page=2, page_size=40)
+    return Retrieval(engine(spark, sf_dir), r).documents().drop("identifier")
+
+
 def nested_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nested list, a row for each of its entries."""
     df = engine(spark, sf_dir).ask(["nation", "::all", "supplier", "::all", "s_acctbal"]).df
@@ -367,6 +436,26 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "replaced_events": (replaced_events, """
       SELECT event_id, user_id, event_type, value FROM events WHERE user_id % 50 <> 0
       UNION ALL SELECT NULL, c_custkey, 'new', c_acctbal FROM customer, range(2) WHERE c_custkey % 50 = 0"""),
+    "upsert_from_json": (upsert_from_json, "SELECT c_custkey, c_name, coalesce(p, c_mktsegment) AS c_mktsegment, c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1) ON o_custkey = c_custkey"),
+    "unloaded_and_read": (unloaded_and_read, "SELECT n_name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "file_revisions": (file_revisions, """
+      SELECT page_id, CASE page_id % 4 WHEN 0 THEN '::blank' WHEN 1 THEN CASE WHEN page_id % 5 > 0 THEN 'store://' || url END WHEN 2 THEN 's3://new/' || page_id || '.png' END AS location,
+      CASE page_id % 4 WHEN 0 THEN '::blank' WHEN 1 THEN CASE WHEN page_id % 5 > 0 THEN 'pages-' || page_id || '-snapshot.html' END WHEN 2 THEN 'pages-' || page_id || '-snapshot.png' END AS filename,
+      CASE page_id % 4 WHEN 0 THEN '::blank' WHEN 1 THEN CASE WHEN page_id % 5 > 0 THEN string_split(url, '/')[-1] END WHEN 2 THEN 'photo.jpg' END AS original_filename FROM pages"""),
+    "upsert_times": (upsert_times, """
+      SELECT r_name, '2020-01-01T00:00:00+00:00' AS created_at, CASE WHEN r_name = 'ASIA' THEN '2024-05-05T00:00:00+00:00' ELSE '2020-01-01T00:00:00+00:00' END AS updated_at FROM region
+      UNION ALL SELECT 'ATLANTIS', '2024-05-05T00:00:00+00:00', '2024-05-05T00:00:00+00:00'"""),
+    "complaints_of_revisions": (complaints_of_revisions, """
+      WITH r AS (SELECT * FROM customer WHERE c_custkey % 2 = 0)
+      SELECT 'customer' AS model, c_name AS identifier, 'customer has no attribute ''nickname''' AS complaint FROM r
+      UNION ALL SELECT 'customer', c_name, 'customer.nation ''ATLANTIS'' does not exist.' FROM r WHERE c_custkey % 10 = 0
+      UNION ALL SELECT 'customer', c_name, 'On c_acctbal, ' || c_acctbal::VARCHAR || ' should be greater than or equal to -500 and less than or equal to 9000.' FROM r WHERE NOT c_acctbal BETWEEN -500 AND 9000
+      UNION ALL SELECT 'customer', c_name, 'On c_mktsegment, ''' || c_mktsegment || ''' should be one of BUILDING, MACHINERY.' FROM r WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')"""),
+    "migration_steps": (migration_steps, """
+      SELECT * FROM (VALUES ('create_table', 'codex', NULL, NULL), ('add_column', 'codex', 'id', 'bigint'), ('add_column', 'codex', 'name', 'string'), ('add_column', 'codex', 'region_id', 'bigint'), ('add_column', 'codex', 'created_at', 'timestamp_ntz'),
+        ('add_column', 'codex', 'updated_at', 'timestamp_ntz'), ('add_column', 'customer', 'nickname', 'string'), ('add_column', 'supplier', 'agent_id', 'bigint')) AS t(step, model, "column", type)"""),
+    "evolved_customers": (evolved_customers, "SELECT c_name AS identifier, c_acctbal AS balance, NULL::VARCHAR AS nickname, 0::BIGINT AS n_clients FROM customer WHERE c_acctbal > 9000"),
+    "retrieve_page": (retrieve_page, "SELECT c_name, c_mktsegment FROM customer ORDER BY c_acctbal NULLS LAST, c_name LIMIT 40 OFFSET 40"),
     "model_counts": (model_counts, " UNION ALL ".join(f"SELECT '{n}' AS model, count(*) AS n_rows FROM {n}" for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "documents", "pages", "labels"))),
 }
 
