@@ -14,8 +14,9 @@ Neighbouring windows with one minimizer form a piece of text. The steps:
    equal windows.
 4. The groups get these for their pieces and mark, cut and hash their documents.
 
-Groups, blocks and shards grow in number with the input, not in size: a passage that a third of all
-documents share reaches its shard once a group. Windows without a minimizer that another document
+Groups, blocks and shards grow in number with the input, not in size, up to ``GROUPS`` (8 TB of
+text); beyond that groups grow, as a passage that a third of all documents share reaches its shard
+once a group. Tasks grow in number, too, whatever the session's shuffle partitions. Windows without a minimizer that another document
 has can't be shared, so nothing is left out. Pieces are told apart by 64-bit hashes.
 
 Nulls: a null text is empty; documents with null doc_ids come after all others and don't take
@@ -41,6 +42,10 @@ from stemma.llm.suffix_array import common_prefix_reaches, suffix_array
 LENGTH, GRAM = 50, 20
 #: Bytes of text of a group, about; so many groups share a block of minimizers.
 GROUP_BYTES, GROUPS_A_BLOCK = 4 << 20, 8
+#: Groups at most: of more text than GROUPS * GROUP_BYTES each group has more, so that a passage that all have stays some 200 MB at its shard.
+GROUPS = 1 << 21
+#: Groups, blocks or shards that one task does one after the other, about, where the session's shuffle partitions are fewer.
+GROUPS_A_TASK = 8
 #: Bytes of a suffix array, and how often what one minimizer has beyond that is cut anew.
 ARRAY_BYTES, SALTS = 1 << 20, 4
 #: Bytes of a string that goes into an array, at most; of longer ones slices do that overlap by a window less a byte.
@@ -364,16 +369,21 @@ def remove_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     total = texts.agg(F.sum(F.octet_length("raw")).alias("n")).first()["n"] or 0
-    groups = max(partitions(spark), -(-total // GROUP_BYTES))
+    groups = max(partitions(spark), min(GROUPS, -(-total // GROUP_BYTES)))
     blocks = max(partitions(spark), groups // GROUPS_A_BLOCK)
+    tasks = groups // GROUPS_A_TASK
+
+    def by(df: DataFrame, key: str):
+        return (df.repartition(tasks, key) if tasks > partitions(spark) else df).groupBy(key)
+
     dealt = texts.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    sent = dealt.groupBy("grp").applyInArrow(send_minimizers(blocks), MINIMIZERS)
-    shared = sent.groupBy("block").applyInArrow(shared_minimizers, SHARED)
-    parts = dealt.groupBy("grp").cogroup(shared.groupBy("grp")).applyInArrow(send_pieces(blocks, groups), PIECES)
-    repeats = parts.groupBy("shard").applyInArrow(find_repeats, REPEATS)
+    sent = by(dealt, "grp").applyInArrow(send_minimizers(blocks), MINIMIZERS)
+    shared = by(sent, "block").applyInArrow(shared_minimizers, SHARED)
+    parts = by(dealt, "grp").cogroup(by(shared, "grp")).applyInArrow(send_pieces(blocks, groups), PIECES)
+    repeats = by(parts, "shard").applyInArrow(find_repeats, REPEATS)
 
     def last(table: pa.Table, found: pa.Table) -> pa.Table:
         out = cut(table, found)
         return out if with_text else out.drop_columns("kept")
 
-    return dealt.groupBy("grp").cogroup(repeats.groupBy("grp")).applyInArrow(last, RESULT if with_text else RESULT.removesuffix(", kept binary"))
+    return by(dealt, "grp").cogroup(by(repeats, "grp")).applyInArrow(last, RESULT if with_text else RESULT.removesuffix(", kept binary"))

@@ -111,6 +111,17 @@ def test_op6_equals_brute_force(spark):
     assert {r.doc_id: tuple(r)[1:] for r in queries.op6_suffix_dedup(spark, SF).collect()} == brute_repeats(docs)
 
 
+def test_op6_deals_large_inputs_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "GROUPS", 60)
+    monkeypatch.setattr(suffix_dedup, "GROUPS_A_TASK", 2)
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    out = queries.op6_suffix_dedup(spark, SF)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 30), REPARTITION_BY_NUM") == plan.count("Exchange hashpartitioning") > 0
+    assert {r.doc_id: tuple(r)[1:] for r in out.collect()} == brute_repeats(docs)
+
+
 def test_repeats_of_odd_texts(spark):
     docs = [(1, "ab" * 200), (2, "x" + "ab" * 60 + "é" * 40), (3, None), (4, ""), (5, "a" * 49), (6, "a" * 49), (7, "a" * 50), (8, "b" + "a" * 50), (9, "é" * 60)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
