@@ -1,6 +1,7 @@
 """Near-duplicate documents by a multi-index Hamming join over MinHash signatures.
 
-A document's set holds the hashes of its distinct 4-word shingles. Documents with equal sets are one
+A document's set holds the hashes of its distinct shingles of ``words`` words (``WORDS`` unless asked
+otherwise). Documents with equal sets are one
 class; each class has a signature of ``LANES`` lanes, each a 32-bit digest of a minimum. Two sets of
 similarity 0.8 differ in a lane with probability 0.2, so in more than ``DISTANCE`` of 48 lanes with
 one of about a millionth. The signature is split into chunks of ``CHUNK`` lanes: if two signatures
@@ -18,7 +19,7 @@ out of it). Classes that are already in one component aren't compared again. All
 on full sets; no bucket, partner or candidate is capped.
 
 Nulls: a null text has no words; a null doc_id is its own component (null). Texts without words:
-an empty set, linked with nothing. Fewer than four words: the whole sequence is the one shingle. Very
+an empty set, linked with nothing. Fewer words than a shingle's: the whole sequence is the one shingle. Very
 long texts: whole. Repeated rows: equal sets, linked; rows of one doc_id are one document. Empty
 tables: empty result. Other columns are not read by ``near_duplicates`` and kept by ``deduplicate``.
 """
@@ -35,8 +36,10 @@ from pyspark.sql import functions as F
 
 from stemma.llm.common import stored
 from stemma.llm.segments import slices
-from stemma.llm.shingles import MinHash, mix, shingle_set
+from stemma.llm.shingles import MOST_WORDS, MinHash, mix, shingle_set
 
+#: Words of a shingle.
+WORDS = 5
 #: Similarity from which documents are linked, in hundredths.
 SIMILARITY = 80
 LANES, CHUNK = 48, 4
@@ -58,7 +61,7 @@ def chunk_keys(lanes: np.ndarray) -> np.ndarray:
     return np.stack(keys, 1)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n (size of the set), two sums over the set that tell sets apart, and the lanes as bytes."""
     hasher = MinHash(LANES)
 
@@ -66,7 +69,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at, rows in slices(batch.column("text")):
                 part = batch.slice(at, rows)
-                sets = [shingle_set(t) for t in part.column("text").to_pylist()]
+                sets = [shingle_set(t, words) for t in part.column("text").to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 lanes = np.zeros((len(sets), LANES), np.uint32)
                 if full:
@@ -115,12 +118,12 @@ def close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(sized).select("a", "b", "x", "y").mapInPandas(run, "a long, b long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """id and the set, as the bytes of its sorted hashes, of the documents in ``ids``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"id": frame["id"].to_numpy(), "elements": [shingle_set(t).tobytes() for t in frame["text"]]})
+            yield pd.DataFrame({"id": frame["id"].to_numpy(), "elements": [shingle_set(t, words).tobytes() for t in frame["text"]]})
 
     found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
     return found.mapInPandas(run, "id long, elements binary")
@@ -241,9 +244,11 @@ def prefix_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
     return one.join(two, "e").where(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that is reachable) and kept, for each row of ``docs``."""
-    base = stored(signatures(docs), "signatures")
+    if not 1 <= words <= MOST_WORDS:
+        raise ValueError(f"a shingle has 1 to {MOST_WORDS} words, not {words}")
+    base = stored(signatures(docs, words), "signatures")
     classes = base.where("n > 0 and doc_id is not null").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("id"), F.min_by("lanes", "doc_id").alias("lanes"))
     classes = stored(classes, "classes")
     keyed = exploded(classes, chunk_keys)
@@ -252,14 +257,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = stored(members.select("a", F.col("id").alias("b")).distinct(), "pairs")
     near = stored(close(pairs, classes), "close")
     ids = stored(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    links = confirmed(near, stored(full_sets(docs, ids), "sets"))
+    links = confirmed(near, stored(full_sets(docs, ids, words), "sets"))
     found = components(links)
     # what is left: of buckets of three or more in which a comparison failed, all but the smallest
     failed = pairs.join(links, ["a", "b"], "left_anti").withColumnRenamed("b", "id")
     open_keys = members.where("c > 2").join(failed, ["a", "id"], "left_semi").select("key").distinct()
     left = members.where("c > 2").join(open_keys, "key", "left_semi").select("id").distinct()
     left = near_by_lanes(classes.join(left, "id", "left_semi"), found)
-    sets = stored(full_sets(docs, left), "sets")
+    sets = stored(full_sets(docs, left, words), "sets")
     more = confirmed(prefix_pairs(sets, found), sets)
     same = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
     found = components(same.unionByName(more))
@@ -268,7 +273,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = near_duplicates(docs, words).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -31,8 +31,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, vocabulary("piece_bpe_32k.model")).select("doc_id", "n_words", "n_tokens")
 
 
+#: Words of a shingle in op3; the pipeline takes the operator's own, five.
+OP3_WORDS = 4
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash_dedup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), words=OP3_WORDS)
 
 
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

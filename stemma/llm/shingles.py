@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 
-WORDS = 4
+#: Words of a shingle at most.
+MOST_WORDS = 32
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLACE = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = _rng.integers(1, 1 << 63, MOST_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -53,19 +54,19 @@ def word_hashes(text: str) -> np.ndarray:
     return range_hashes(raw, start, end)
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of a text's 4-word shingles; with fewer words, one for all of them; none without words."""
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles of ``size`` words; with fewer words, one for all of them; none without words."""
     words = word_hashes(text or "")
     if len(words) == 0:
         return words
-    if len(words) < WORDS:
+    if len(words) < size:
         h = np.uint64(len(words))
         for w in words:
             h = mix(np.array([h]) * _PLACE[0] + w)[0]
         return np.array([h], np.uint64)
-    h = words[: len(words) - WORDS + 1] * _PLACE[0]
-    for k in range(1, WORDS):
-        h = h + words[k : len(words) - WORDS + 1 + k] * _PLACE[k]
+    h = words[: len(words) - size + 1] * _PLACE[0]
+    for k in range(1, size):
+        h = h + words[k : len(words) - size + 1 + k] * _PLACE[k]
     return np.unique(mix(h))
 
 

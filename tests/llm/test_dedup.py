@@ -16,16 +16,16 @@ SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingles(text):
+def shingles(text, size=4):
     words = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     if not words:
         return frozenset()
-    return frozenset(tuple(words[i : i + 4]) for i in range(len(words) - 3)) or frozenset([tuple(words)])
+    return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1)) or frozenset([tuple(words)])
 
 
-def brute_components(docs):
+def brute_components(docs, size=4):
     """{doc_id: (size, component)} of (doc_id, text) rows."""
-    sets = {d: shingles(t) for d, t in docs}
+    sets = {d: shingles(t, size) for d, t in docs}
     root = {d: d for d in sets}
 
     def find(x):
@@ -58,11 +58,12 @@ def made_up():
     return [(i, t) for i, t in enumerate(docs)]
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("words", [1, 4, 5])
+def test_near_duplicates_equal_brute_force(spark, words):
     docs = made_up() + [(None, "x y z"), (None, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumnRenamed("text", "text")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(df).collect() if r.doc_id is not None}
-    assert got == brute_components([d for d in docs if d[0] is not None])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(df, words).collect() if r.doc_id is not None}
+    assert got == brute_components([d for d in docs if d[0] is not None], words)
 
 
 def test_op3_equals_brute_force(spark):

@@ -33,7 +33,7 @@ def test_stages(spark, stages):
     verdicts = {r.doc_id: r.kept for r in queries.op1_quality_rules(spark, SF).collect()}  # equal to DuckDB's
     assert sorted(after) == sorted(r for r in before if verdicts[r.doc_id])
     before, after, _ = stages["minhash_dedup"]
-    groups = brute_components([(r.doc_id, r.text) for r in before])
+    groups = brute_components([(r.doc_id, r.text) for r in before], 5)
     assert sorted(after) == sorted(r for r in before if groups[r.doc_id][1] == r.doc_id)
     before, after, _ = stages["decontaminate"]
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
