@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stemma.llm.common import let, words_of
+from stemma.llm.common import let, stored, words_of
 
 WINDOW, LEAST_WORDS, COVERAGE = 8, 4, 50
 #: Words of the shorter windows at least.
@@ -115,7 +115,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hits = found.join(F.broadcast(items) if facts["n"] <= BROADCAST_ROWS else items, "h")
     hits = hits.select("doc_id", "item_id", "n_words", "full", "short", "size", "ipos", "n_windows", (F.col("pos") - F.col("ipos")).alias("shift"), "slots")
     if facts["slots"]:
-        values = named.select("doc_id", F.explode(slots(F.col("text"))).alias("s")).select("doc_id", F.col("s.pos").alias("pos"), F.col("s.value").alias("found"))
+        hits = stored(hits, "hits")  # used three times; and with its size known, the slots of other documents aren't looked at
+        asking = hits.where(F.size("slots") > 0).select("doc_id").distinct()
+        values = named.join(asking, "doc_id", "left_semi").select("doc_id", F.explode(slots(F.col("text"))).alias("s")).select("doc_id", F.col("s.pos").alias("pos"), F.col("s.value").alias("found"))
         at = ["doc_id", "item_id", "shift"]
         asked = hits.select(*at, F.explode("slots").alias("s")).select(*at, F.col("s.pos").alias("ipos"), (F.col("shift") + F.col("s.pos")).alias("pos"), F.col("s.value").alias("value")).distinct()
         wrong = F.collect_list(F.when(F.col("found") != F.col("value"), F.col("ipos")))
@@ -142,4 +144,5 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates."""
-    return docs.join(contamination(docs, benchmark).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    gone = stored(contamination(docs, benchmark).select("doc_id"), "leaked")  # of a known size: where it is small, no text is shuffled
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -275,5 +275,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def deduplicate(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component."""
-    gone = near_duplicates(docs, words).where(~F.col("kept")).select("doc_id").distinct()
+    # stored, so of a known size: where it is small, no text is shuffled
+    gone = stored(near_duplicates(docs, words).where(~F.col("kept")).select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
