@@ -54,8 +54,8 @@ def numeric_text(c: Column) -> Column:
 
 
 def matrix_row(c: Column, width: int) -> Column:
-    """A row, or as many nulls."""
-    return F.coalesce(c, F.array_repeat(F.lit(None).cast("double"), width))
+    """A row, or as many nulls; its numbers keep the type in which they are stored."""
+    return F.coalesce(c, F.array_repeat(F.lit(None), width))
 
 
 def matrix_slice(c: Column, options: Sequence[str], names: Sequence[str]) -> Column:

@@ -74,6 +74,14 @@ def test_matrix(labors):
         labors.ask(["labor", "::all", "contributions", "::slice", ["Thebes"]])
 
 
+def test_matrix_keeps_the_type_of_its_numbers(labors):
+    for kind in ("float", "double"):
+        labor = labors.tables["labor"].withColumn("contributions", F.col("contributions").cast(f"array<{kind}>"))
+        answer = Engine(labors.spark, labors.catalog, labors.tables | {"labor": labor}, labors.user).ask(["labor", ["name", "::in", ["Lion", "Hydra"]], "::all", "contributions"])
+        assert answer.df.schema["answer"].dataType.elementType.simpleString() == kind
+        assert answer.collect() == [["Hydra", [None, None]], ["Lion", [1.0, 2.0]]]
+
+
 def test_restriction(labors):
     viewer = Engine(labors.spark, labors.catalog, labors.tables, User())
     assert names(viewer, "victim", "::all", "::identifier") == ["Jane", "Sue"]
