@@ -77,8 +77,8 @@ def merged(model: Model, revisions: Revisions) -> Revisions:
     aggregates, flags = [], []
     for i, name in enumerate(known):
         has = F.array_contains("__given", name)
-        aggregates += [F.max(F.when(has, F.struct("__seq", F.col(name).alias("v")))).alias(f"__v{i}"), F.max(has).alias(f"__f{i}")]
-        flags.append(F.when(F.col(f"__f{i}"), F.lit(name)))
+        aggregates.append(F.max(F.when(has, F.struct("__seq", F.col(name).alias("v")))).alias(f"__v{i}"))
+        flags.append(F.when(F.col(f"__v{i}").isNotNull(), F.lit(name)))
     unknown = F.collect_set(F.array_except("__given", F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")))
     out = revisions.rows.groupBy("__record").agg(*aggregates, F.array_distinct(F.flatten(unknown)).alias("__unknown"))
     given = F.filter(F.array(*flags), lambda x: x.isNotNull()) if flags else F.array().cast("array<string>")
@@ -220,6 +220,8 @@ class Update:
             raise Forbidden("You are not allowed to edit this project")
         self.catalog, self.stored = self.engine.catalog, self.engine.tables
         own = {n: merged(self.catalog.model(n), r) for n, r in self.revisions.items()}
+        lists = {a.model for n, r in own.items() for a in self.catalog.model(n) if a.type in ONE + MANY and a.name in r.names}
+        own = {n: self._given(self.catalog.model(n), r) for n, r in own.items()}
         linked = {n: [replace(r, rows=r.rows.withColumn("__seq", F.lit(0).cast("long")))] for n, r in own.items()}
         self.kept: dict[str, list[tuple[str, DataFrame, DataFrame]]] = {}  # of tables: the stored column of the parent, parents, rows that stay
         for name, r in own.items():
@@ -230,16 +232,28 @@ class Update:
                         linked.setdefault(child, []).append(more)
         self.rows: dict[str, Revisions] = {}
         for name, parts in linked.items():
+            if name in own and len(parts) == 1:  # merged, and no list adds to it
+                self.rows[name] = own[name]
+                continue
             names = tuple(dict.fromkeys(n for p in parts for n in p.names))
             union = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), (p.rows for p in parts))
             again = merged(self.catalog.model(name), Revisions(union.drop("__unknown"), names)).rows.drop("__unknown")
             if "__unknown" in union.columns:
                 again = again.join(union.where(F.size("__unknown") > 0).select("__record", "__unknown"), "__record", "left")
             self.rows[name] = Revisions(again, names)
+        self.untouched = lists - set(self.rows)  # by lists that no row gives
         self.keyed = {n: self._keyed(self.catalog.model(n), r.rows) for n, r in self.rows.items()}
         # written once: what is checked is what is stored
         self.resolved = {n: checkpointed(self._resolved(self.catalog.model(n), r)) for n, r in self.rows.items()}
 
+    def _given(self, model: Model, r: Revisions) -> Revisions:
+        """Merged rows as they are stored, so that the source is read once, and of the names those that a row gives or the dictionary is asked for."""
+        rows = checkpointed(r.rows)
+        found = {x.name for x in rows.select(F.explode("__given").alias("name")).distinct().collect()}  # names of the model's attributes
+        found |= {mine for mine, _ in model.dictionary[1]} if model.dictionary else set()
+        names = tuple(n for n in r.names if n in found)
+        return Revisions(rows.select("__record", "__given", "__unknown", *names), names)
+
     def _links(self, model: Model, a: Attribute, rows: DataFrame) -> list[tuple[str, Revisions]]:
         """Revisions of the records below list ``a``: links to those named, and none for those that were linked before."""
         child = self.catalog.model(a.model)
@@ -390,7 +404,7 @@ class Update:
     @property
     def tables(self) -> dict[str, DataFrame]:
         """The new tables of the models that are revised."""
-        out = {}
+        out = {name: self.stored[name] for name in self.untouched}
         for name in self.rows:
             model = self.catalog.model(name)
             df = self._written(model)

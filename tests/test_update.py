@@ -4,8 +4,10 @@ import datetime
 import hashlib
 import hmac
 import json
+from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from labors import TWELVE, engine, local
 from stemma.catalog import User
@@ -165,6 +167,24 @@ def test_all_complaints_are_counted(spark):
         upsert.load(e, {"monster": df})
 
 
+def test_revisions_from_files_are_read_once(spark, tmp_path):
+    e = engine(spark, project=PROJECT, labor=[{"name": "Lion", "project_id": 1, "number": 1}], monster=[{"name": "Nemean Lion", "labor_id": 1}, {"name": "Lernean Hydra"}], prize=[{"name": "hide", "labor_id": 1}])
+    lines = [{"model": "labor", "record": "Lion", "seq": i, "revision": {"number": i}} for i in range(9)] + [{"model": "labor", "record": "Hydra", "seq": 9, "revision": {}}]
+    (tmp_path / "r.json").write_text("\n".join(map(json.dumps, lines)))
+    read = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: (read.add(1), x)[1]).asNondeterministic()
+    r = read_revisions(spark, e.catalog, f"file://{tmp_path}/r.json", ["labor"])["labor"]
+    new = upsert.load(e, {"labor": replace(r, rows=r.rows.withColumn("__record", counted("__record")))})
+    assert sorted((x.name, x.number) for x in new["labor"].collect()) == [("Hydra", None), ("Lion", 8)]
+    assert read.value == len(lines)
+    # lists that no row gives change nothing below them
+    assert {n: sorted(df.drop("created_at", "updated_at").collect()) for n, df in new.items() if n != "labor"} == {n: sorted(e.tables[n].drop("created_at", "updated_at").collect()) for n in ("monster", "prize")}
+    (tmp_path / "l.json").write_text(json.dumps({"model": "labor", "record": "Lion", "revision": {"monster": "Lernean Hydra"}}))
+    moved = upsert.load(e, read_revisions(spark, e.catalog, f"file://{tmp_path}/l.json", ["labor"]))
+    assert sorted((x.name, x.labor_id) for x in moved["monster"].collect()) == [("Lernean Hydra", 1), ("Nemean Lion", None)]
+    assert [(x.name, x.number) for x in moved["labor"].collect()] == [("Lion", 1)] and moved["prize"].count() == 1
+
+
 def test_sources(spark, tmp_path):
     e = engine(spark, project=PROJECT)
     lines = [{"model": "monster", "record": "Nemean Lion", "seq": 1, "revision": {"species": "cat"}}, {"model": "monster", "record": "Nemean Lion", "seq": 2, "revision": {"species": None}}, {"model": "victim", "record": "Sue", "revision": {"arrival": "2020-01-02T03:04:05Z", "monster": "Nemean Lion"}}]
