@@ -9,7 +9,7 @@ Texts for which that can't be told are encoded whole.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ JOINED_CHARS = 1 << 14
 
 
 #: Bytes of texts that are encoded together, about.
-TEXT_BYTES = 1 << 20
+TEXT_BYTES = 1 << 22
 
 
 def slices(texts: pa.Array | pa.ChunkedArray) -> list[tuple[int, int]]:
@@ -68,7 +68,7 @@ class SegmentEncoder:
     WHOLE = 15
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.keys = pa.array([], pa.large_binary())  # the segments as they stand in texts
         self.flat = np.zeros(1 << 16, np.uint32)
         self.edges = np.zeros(1 << 14, np.int64)  # of segment i: from edges[i] to edges[i + 1]
         self.seen = np.zeros(1 << 14, np.int64)
@@ -77,39 +77,54 @@ class SegmentEncoder:
 
     def _thin(self) -> None:
         """Keep what was met again since the last time, unless that alone is most of it."""
-        n = len(self.index)
-        old, edges, again = list(self.index), self.edges, np.flatnonzero(self.seen[:n] > 1)
+        n = len(self.keys)
+        old, edges, again = self.keys, self.edges, np.flatnonzero(self.seen[:n] > 1)
         flat, codes, other = self.flat, self.codes, self.other
         self.forget()
         if 0 < len(again) < KEPT_SEGMENTS // 2:
             sizes = edges[again + 1] - edges[again]
             ends = np.cumsum(sizes)
-            self._keep([old[i] for i in again], codes[again], flat[np.repeat(edges[again] - ends + sizes, sizes) + np.arange(ends[-1])], ends, other[again])
+            self._keep(0, codes[again], flat[np.repeat(edges[again] - ends + sizes, sizes) + np.arange(ends[-1])], ends, other[again])
+            self.keys = old.take(pa.array(again))
 
-    def _keep(self, keys: list[str], codes: np.ndarray, ids: np.ndarray, ends: np.ndarray, other: np.ndarray | int = 0) -> None:
-        """keys: segments; ids: theirs, of key i up to ends[i]."""
-        n = len(self.index)
+    def _keep(self, n: int, codes: np.ndarray, ids: np.ndarray, ends: np.ndarray, other: np.ndarray | int = 0) -> None:
+        """n: segments kept before; ids: of the new ones, of the i-th up to ends[i]."""
         used = int(self.edges[n])
         while used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(keys) >= len(self.edges):
+        to = n + len(codes)
+        while to >= len(self.edges):
             self.edges, self.seen, self.codes, self.other = (np.concatenate([x, np.zeros_like(x)]) for x in (self.edges, self.seen, self.codes, self.other))
         self.flat[used : used + len(ids)] = ids
-        self.edges[n + 1 : n + 1 + len(keys)] = used + ends
-        self.codes[n : n + len(keys)] = codes
-        self.other[n : n + len(keys)] = other
-        self.index.update(zip(keys, range(n, n + len(keys)), strict=True))
-
-    def _learn(self, keys: list[str]) -> None:
+        self.edges[n + 1 : to + 1] = used + ends
+        self.codes[n:to] = codes
+        self.other[n:to] = other
+
+    def _spelled(self, found: pa.Array) -> list[str]:
+        """Segments without the space before them; breaks as they are, a text's first segment with a space if it is to be told apart."""
+        first = " " if self.first else ""
+        return [k[1:] if k[:1] == " " else k if k and k[0] in self.breaks else first + k for k in found.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()]
+
+    def _learn(self, found: pa.Array) -> np.ndarray:
+        """Encodes new segments; where each is kept."""
+        keys, n = self._spelled(found), len(self.keys)
         codes = self.codes_of(keys)
         apart = codes >= 8
         if apart.any():
             single = [keys[i] for i in np.flatnonzero(apart)]
             ids = [np.asarray(x, np.uint32) for x in self.alone(single)]
-            self._keep(single, codes[apart], np.concatenate(ids), np.cumsum([*map(len, ids)]))
+            self._keep(n, codes[apart], np.concatenate(ids), np.cumsum([*map(len, ids)]))
             keys, codes = [keys[i] for i in np.flatnonzero(~apart)], codes[~apart]
-        if not keys:
-            return
+        order = np.concatenate([np.flatnonzero(apart), np.flatnonzero(~apart)])
+        self.keys = pa.concat_arrays([self.keys, found.take(pa.array(order))])
+        at = np.empty(len(order), np.int64)
+        at[order] = n + np.arange(len(order))
+        if keys:
+            self._join(n + int(apart.sum()), keys, codes)
+        return at
+
+    def _join(self, n: int, keys: list[str], codes: np.ndarray) -> None:
+        """Encodes segments that can stand in joined strings."""
         texts = [k if k[0] in self.breaks else " " + k for k in keys]
         block = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // JOINED_CHARS
         cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(keys)]
@@ -119,42 +134,37 @@ class SegmentEncoder:
         if self.space_bytes > 1:
             ends = ends + np.cumsum(np.fromiter((t[0] == " " for t in texts), np.int64, len(texts))) * (self.space_bytes - 1)
         at = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends, "left") + 1
-        self._keep(keys, codes, ids, at, self.differ(keys, ids, at) if self.differ else 0)
-
-    def _segments(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """(distinct segments, which of them each segment of the texts is, the number of segments by text); empty texts have none."""
-        counts = np.zeros(len(texts), np.int64)
-        full = np.flatnonzero(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        if not len(full):
-            return [], np.zeros(0, np.int64), counts
-        left = texts.take(pa.array(full)) if len(full) < len(texts) else texts
-        for mark in self.breaks:
-            left = pc.replace_substring(left, mark, " " + mark)
-        parts = pc.split_pattern(left, " ")
-        counts[full] = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
-        found = parts.flatten().dictionary_encode()
-        rows, keys = found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if self.first:
-            at = (np.cumsum(counts) - counts)[full]
-            first = [" " + keys[i] for i in rows[at]]
-            rows[at] = len(keys) + np.arange(len(first))
-            used, rows = np.unique(rows, return_inverse=True)
-            keys += first
-            keys = [keys[i] for i in used]
-        return keys, rows, counts
+        self._keep(n, codes, ids, at, self.differ(keys, ids, at) if self.differ else 0)
+
+    def _segments(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(distinct segments as they stand in the texts, which of them each segment is, the number of segments by text); empty texts have none, others that begin with a space or break an empty one first."""
+        if not pc.sum(pc.binary_length(texts)).as_py():
+            return self.keys[:0], np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
+        edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        base = int(edges[0])
+        cut = np.isin(np.arange(256), [ord(c) for c in " " + self.breaks])[np.frombuffer(data, np.uint8)[base : edges[-1]]]
+        starts = (edges[:-1] - base)[np.diff(edges) > 0]
+        led = starts[cut[starts]]
+        cut[starts] = True
+        at = np.flatnonzero(cut)
+        if len(led):
+            at = np.sort(np.concatenate([at, led]), kind="stable")
+        counts = np.diff(np.searchsorted(at, edges - base))
+        offsets = np.append(at, edges[-1] - base) + base
+        found = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), data]).dictionary_encode()
+        return found.dictionary, found.indices.to_numpy(zero_copy_only=False), counts
 
     def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each text, by text whether another encoder has other ids for a segment of it); a null is an empty text."""
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
-        if len(self.index) > KEPT_SEGMENTS:
+        if len(self.keys) > KEPT_SEGMENTS:
             self._thin()
         keys, local, counts = self._segments(texts)
-        known = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
+        known = pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(known < 0)
         if len(new):
-            new_keys = [keys[i] for i in new]
-            self._learn(list(dict.fromkeys(new_keys)))
-            known[new] = np.fromiter(map(self.index.__getitem__, new_keys), np.int64, len(new))
+            known[new] = self._learn(keys.take(pa.array(new)))
         np.add.at(self.seen, known, np.bincount(local, minlength=len(keys)))
         rows = known[local]
         starts = self.edges[rows]

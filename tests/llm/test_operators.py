@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import sentencepiece
@@ -258,3 +259,16 @@ def test_queries_equal_their_sql(spark, name):
     assert sorted(found.columns) == sorted(wanted.columns)
     rows = [[[None if pd.isna(v) else v for v in r] for r in df[sorted(df.columns)].sort_values("doc_id").values.tolist()] for df in (found.toPandas(), wanted)]
     assert rows[0] == rows[1]
+
+
+def test_known_segments_stay_in_arrow():
+    """Of texts whose segments are known no string is made; cuts lie at spaces and breaks, a sliced array's among them."""
+    encoder, tok = token_output.byte_level_encoder.__wrapped__(BPE), Tokenizer.from_file(BPE)
+    sliced = pa.array(["x", None, "", " ", ".a. b", " a  b", "\n.", "Ein Wort,noch eins.\n\nUnd 3.5 é日本 ", "a b"]).slice(1)
+    made, spelled = [], encoder._spelled
+    encoder._spelled = lambda found: made.append(len(found)) or spelled(found)
+    for _ in range(2):
+        ids, sizes, _ = encoder.encode(sliced)
+        want = [tok.encode(t or "", add_special_tokens=False).ids for t in sliced.to_pylist()]
+        assert sizes.tolist() == [*map(len, want)] and ids.tolist() == [i for x in want for i in x]
+    assert made == [len(encoder.keys)]
