@@ -22,13 +22,15 @@ JOINED_CHARS = 1 << 14
 
 
 #: Bytes of texts that are encoded together, about.
-TEXT_BYTES = 1 << 22
+TEXT_BYTES = 1 << 20
+#: The same for a SegmentEncoder, which indexes what it keeps anew for each stretch.
+ENCODED_BYTES = 1 << 22
 
 
-def slices(texts: pa.Array | pa.ChunkedArray) -> list[tuple[int, int]]:
-    """(from, number) of stretches of rows with about TEXT_BYTES of text, one row at least."""
+def slices(texts: pa.Array | pa.ChunkedArray, size: int = TEXT_BYTES) -> list[tuple[int, int]]:
+    """(from, number) of stretches of rows with about ``size`` bytes of text, one row at least."""
     sizes = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
-    block = (np.cumsum(sizes) - sizes) // TEXT_BYTES
+    block = (np.cumsum(sizes) - sizes) // size
     cuts = [*np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])[: len(block)]).tolist(), len(block)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 

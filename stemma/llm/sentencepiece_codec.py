@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stemma.llm.common import with_columns
-from stemma.llm.segments import SegmentEncoder, slices
+from stemma.llm.segments import ENCODED_BYTES, SegmentEncoder, slices
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -197,7 +197,7 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", verify
 
     def run(texts: pa.Array) -> Iterator[dict[str, pa.Array]]:
         c = codec(model_path, verify)
-        for at, rows in slices(texts):
+        for at, rows in slices(texts, ENCODED_BYTES):
             part = texts.slice(at, rows)
             ids, sizes, differ = c.encode(part)
             ids, ends = ids.astype(np.int32), np.cumsum(sizes)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stemma.llm.common import partitions, shared_dir
-from stemma.llm.segments import SegmentEncoder, code_points, slices
+from stemma.llm.segments import ENCODED_BYTES, SegmentEncoder, code_points, slices
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
 #: What the files are written with.
@@ -84,7 +84,7 @@ def encode_table(df: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, start = byte_level_encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at, rows in slices(batch.column("text")):
+            for at, rows in slices(batch.column("text"), ENCODED_BYTES):
                 part = batch.slice(at, rows)
                 ids, sizes, _ = encoder.encode(part.column("text"))
                 ends = np.cumsum(sizes)
